@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import fast_sketch
+from docloom.llm import fast_sketch, language_id, quality_fm
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +17,26 @@ def held_out(frame: DataFrame) -> DataFrame:
     return frame.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = held_out(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    model = language_id.train(docs.where("not held_out"))
+    return held_out(language_id.identify(docs, model)).select("doc_id", "held_out", "lang_pred", "score", "family_pred")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    model = quality_fm.train(docs, held_out(table(spark, sf_dir, "labels")).where("not held_out"))
+    out = held_out(quality_fm.score(docs, model))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fast_sketch.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 ORACLES: dict[str, str] = {}
