@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import edit_lsh, fast_sketch, language_id, line_runs, pq_index, quality_fm, secrets
+from docloom.llm import edit_lsh, fast_sketch, language_id, line_runs, pii, pq_index, quality_fm, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The key of the driver query; a deployment passes its own.
+PII_KEY = b"docloom-demo-key"
+
+
 def held_out(frame: DataFrame) -> DataFrame:
     """Adds held_out: crc32 of doc_id as text leaves remainder 1 modulo 3."""
     return frame.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1)
@@ -27,6 +31,10 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq_index.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
+def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"), key=PII_KEY)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_runs.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
@@ -61,6 +69,7 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_pii_pseudonyms": op3_pii_pseudonyms,
     "op4_line_dedup": op4_line_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_secret_scan": op6_secret_scan,
