@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import edit_lsh, fast_sketch, gumbel_pieces, language_id, line_runs, pii, pq_index, quality_fm, secrets
+from docloom.llm import edit_lsh, fast_sketch, gumbel_pieces, language_id, line_runs, pii, pq_index, quality_fm, secrets, suffix_family
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op9_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gumbel_pieces.report(table(spark, sf_dir, "documents"), k=3)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_family.report(table(spark, sf_dir, "documents"), length=400)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -80,6 +84,7 @@ QUERIES = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_sentencepiece_sampling": op9_sentencepiece_sampling,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES: dict[str, str] = {
     "op4_line_dedup": OP4_SQL,
