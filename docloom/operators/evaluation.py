@@ -53,9 +53,9 @@ def accessors(rows: DataFrame) -> DataFrame:
 
 def with_gold_names(gold: DataFrame, names: DataFrame) -> DataFrame:
     """Adds gold_names: file names of source_ids by `names` (source_id, file_name); unknown ids drop out."""
-    rows = gold.withColumn("_g", F.monotonically_increasing_id())
-    got = rows.select("_g", F.explode("source_ids").alias("source_id")).join(names, "source_id").groupBy("_g").agg(F.sort_array(F.collect_set("file_name")).alias("gold_names"))
-    return rows.join(got, "_g", "left").withColumn("gold_names", F.coalesce("gold_names", F.array().cast("array<string>"))).drop("_g")
+    lists = gold.where(F.size("source_ids") > 0).select("source_ids").distinct()
+    got = lists.select("source_ids", F.explode("source_ids").alias("source_id")).join(names, "source_id").groupBy("source_ids").agg(F.sort_array(F.collect_set("file_name")).alias("gold_names"))
+    return gold.join(got, "source_ids", "left").select(*gold.columns, F.coalesce("gold_names", F.array().cast("array<string>")).alias("gold_names"))
 
 
 def recall(found: Column, gold: Column, k: int = 10) -> Column:
@@ -107,8 +107,10 @@ def graph_contribution(context_ids: Column, graph_ids: Column) -> Column:
 
 def per_query(gold: DataFrame, log: DataFrame, names: DataFrame, mode: str | None = None, k: int = 10) -> DataFrame:
     """One row for each matched gold row with every metric, rounded to 6 decimals."""
-    rows = accessors(pairs(with_gold_names(gold, names), log, mode)[0]).withColumn("_n", F.monotonically_increasing_id())
-    f1 = token_f1(rows.where("coalesce(expected_answer, '') <> ''"), "_n", "answer", "expected_answer")
+    rows = accessors(pairs(with_gold_names(gold, names), log, mode)[0])
+    # the score depends on the two texts alone, so their hash is a key that a recomputed row keeps
+    rows = rows.withColumn("_n", F.sha2(F.concat_ws("\x00", "answer", "expected_answer"), 256))
+    f1 = token_f1(rows.where("coalesce(expected_answer, '') <> ''").select("_n", "answer", "expected_answer").distinct(), "_n", "answer", "expected_answer")
     rows = rows.join(f1, "_n", "left")
     hit = recall(F.col("context_names"), F.col("gold_names"), k)
     hybrid = F.col("log_retrieval_mode").isin("hybrid", "hybrid_v1")
