@@ -129,11 +129,16 @@ def rolled(words: np.ndarray, size: int) -> np.ndarray:
 
 def matches(items: Items, h: np.ndarray, text: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
     """(text, item, distance) of a batch of word hashes; `text` numbers each word's text."""
-    spots = []
-    for size, (key, where, flags) in items.pieces.items():
-        run = rolled(h, size)
-        if not len(run):
-            continue
+    spots, acc, have = [], np.zeros(len(h), U), 0
+    for size in sorted(items.pieces):
+        key, where, flags = items.pieces[size]
+        n = len(h) - size + 1
+        if n <= 0:
+            break
+        for k in range(have, size):  # longer pieces go on from the shorter ones
+            acc[:n] = acc[:n] * U(0x9E3779B97F4A7C15) + h[k : k + n]
+        have = size
+        run = mix(acc[:n])
         near = np.flatnonzero(flags[(run >> U(44)).astype(np.int64)] & (text[: len(run)] == text[size - 1 :]))
         lo, hi = np.searchsorted(key, run[near], "left"), np.searchsorted(key, run[near], "right")
         n = hi - lo
