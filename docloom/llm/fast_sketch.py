@@ -6,9 +6,10 @@ bits, so an earlier round always wins and all T coordinates are filled after 2T
 share of agreeing coordinates estimates the Jaccard similarity with Chernoff-type bounds.
 
 Bands of coordinates give buckets. In a bucket every member is verified against the least member
-(a star), never all pairs. Buckets that still hold several components then verify each member
-outside the largest component against the members of other components, so no link that shares a
-bucket is lost while groups of near copies stay linear. Such a pair is verified only when two bits
+(a star), never all pairs. In buckets that still hold several components each member outside the
+largest one is verified against a drawn member of it, another one in each bucket. Who is still outside
+is verified against all members of other components, so no link that shares a bucket is lost, while
+groups of near copies, whose members find one of some ten drawn members, stay linear. Such a pair is verified only when two bits
 of each coordinate differ in at most far() coordinates: a pair at similarity 0.8 differs in 24 of 160
 on average, and in more than far() with probability below 1e-7, by the sketch's concentration.
 
@@ -179,20 +180,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = verify(star, "links")
     comp = disk.save(connected_components(links, disk), "components")
 
-    # buckets that hold several components: their members outside the largest one meet the others
-    placed = disk.save(
-        members.join(comp.withColumnRenamed("node", "a"), "a", "left").select("key", "a", "n_shingles", "least", F.coalesce("component", "a").alias("component")), "placed"
-    )
-    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    largest = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts"))
-    largest = disk.save(largest.where("parts > 1").select("key", "largest"), "mixed")
+    def place() -> tuple[DataFrame, DataFrame]:
+        """Members with their components, and for buckets of several the largest one and one of its members."""
+        at = members.join(comp.withColumnRenamed("node", "a"), "a", "left")
+        at = disk.save(at.select("key", "a", "n_shingles", F.coalesce("component", "a").alias("component")), "placed")
+        # the member is drawn by a hash with the bucket's key, so a document meets another one in each bucket
+        parts = at.groupBy("key", "component").agg(F.count("*").alias("n"), F.min_by("a", F.xxhash64("key", "a")).alias("pivot"))
+        top = F.max_by(F.struct("component", "pivot"), F.struct("n", "component"))
+        big = parts.groupBy("key").agg(top.alias("t"), F.count("*").alias("parts")).where("parts > 1")
+        return at, disk.save(big.select("key", F.col("t.component").alias("largest"), F.col("t.pivot").alias("pivot")), "mixed")
+
+    # members outside the largest component first meet drawn members of it, which joins nearly all that belong there
+    placed, largest = place()
+    met = placed.join(largest, "key").where("component <> largest").select(F.least("a", "pivot").alias("a"), F.greatest("a", "pivot").alias("b"))
+    met = disk.save(met.distinct().join(star, ["a", "b"], "left_anti"), "met")
+    links = links.union(verify(met, "links"))
+    comp = disk.save(connected_components(links, disk), "components")
+    disk.drop(placed)
+
+    # those that are still outside meet every member of the bucket's other components
+    placed, largest = place()
     mixed = disk.save(placed.join(largest, "key").join(classes.select("a", *PLANES), "a"), "mixed")
     left = mixed.where("component <> largest").select("key", F.col("a").alias("x"), F.col("component").alias("cx"), F.col("n_shingles").alias("nx"), *[F.col(c).alias(f"x{c}") for c in PLANES])
     right = mixed.select("key", F.col("a").alias("y"), F.col("component").alias("cy"), F.col("n_shingles").alias("ny"), *[F.col(c).alias(f"y{c}") for c in PLANES])
     differ = " + ".join(f"bit_count((xb{i} ^ yb{i}) | (xb{i + 3} ^ yb{i + 3}))" for i in range(3))
     fits = (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent) & (F.col("cx") != F.col("cy")) & F.expr(f"{differ} <= {far(percent)}")
     more = left.join(right, "key").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = disk.save(more.join(star, ["a", "b"], "left_anti"), "more")
+    more = disk.save(more.join(star.union(met), ["a", "b"], "left_anti"), "more")
     links = links.union(verify(more, "links"))
     comp = disk.save(connected_components(links, disk), "components")
 
