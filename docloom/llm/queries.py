@@ -74,6 +74,26 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_family.report(table(spark, sf_dir, "documents"), length=400)
 
 
+OP2_SQL = """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+n as (select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as l from v),
+p as (select a.vec_id as a, b.vec_id as b from n a join n b on a.vec_id <> b.vec_id and a.l > 0 and b.l > 0 and list_inner_product(a.e, b.e) >= 0.9 * a.l * b.l),
+r(node, root) as (select vec_id, vec_id from embeddings union select p.b, r.root from r join p on p.a = r.node),
+c as (select node, min(root) as component_id from r group by 1),
+k as (select a, count(*) as n from p group by 1)
+select node as vec_id, coalesce(k.n, 0)::bigint as n_links, component_id, node = component_id as kept from c left join k on k.a = node
+"""
+OP8_SQL = r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (select doc_id, list_distinct(case when len(ws) >= 2 then list_transform(generate_series(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1]) else ws end) as sh from w),
+x as (select doc_id, unnest(sh) as g, len(sh) as n from s),
+p as (select a.doc_id as a, b.doc_id as b from x a join x b on a.g = b.g and a.doc_id <> b.doc_id and 100 * a.n >= 80 * b.n and 100 * b.n >= 80 * a.n group by 1, 2 having 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+r(node, root) as (select doc_id, doc_id from s union select p.b, r.root from r join p on p.a = r.node),
+c as (select node, min(root) as component_id from r group by 1)
+select doc_id, len(sh)::bigint as n_shingles, component_id, doc_id = component_id as kept from s join c on node = doc_id
+"""
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -87,5 +107,7 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op2_embedding_near_dedup": OP2_SQL,
     "op4_line_dedup": OP4_SQL,
+    "op8_minhash_near_dedup": OP8_SQL,
 }
