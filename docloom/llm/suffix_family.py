@@ -31,15 +31,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BROADCAST_ROWS, Scratch, pick
+from docloom.llm.common import Scratch, pick
 from docloom.llm.textkernel import U, mix, powers, prefix, steps
 
 #: Bytes of a piece of text that is worked on at once; pieces overlap by length - 1 bytes.
 PIECE = 1 << 20
 #: Classes of a block beyond which its strings are compared by a shuffle.
 CROWD = 512
-#: Places that are sent to all executors at most; beyond, texts are shuffled.
-BROADCAST_PLACES = 4_000_000
 KEY = ["d", "h"]
 
 
@@ -105,17 +103,22 @@ class IndexFamily:
         self.disk = disk
         self.levels: list[tuple[int, DataFrame]] = []
         self.notes: list[DataFrame] = []
+        self.tables: list[DataFrame] = []
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(self.disk.save(df, name))
+        return self.tables[-1]
 
     def add(self, suffixes: DataFrame) -> None:
         """Adds a batch (key, ...): scans it against all levels, then merges equal-sized levels."""
-        array = self.disk.save(suffixes.groupBy("key").agg(F.count("*").alias("n")), "array")
+        array = self.save(suffixes.groupBy("key").agg(F.count("*").alias("n")), "array")
         self.notes.append(array.where("n > 1").select("key"))
         for _, level in self.levels:
-            self.notes.append(self.disk.save(array.join(level.select("key"), "key").select("key"), "met"))
+            self.notes.append(self.save(array.join(level.select("key"), "key").select("key"), "met"))
         size = 1
         while self.levels and self.levels[-1][0] == size:
             _, level = self.levels.pop()
-            array = self.disk.save(array.union(level).groupBy("key").agg(F.sum("n").alias("n")), "merged")
+            array = self.save(array.union(level).groupBy("key").agg(F.sum("n").alias("n")), "merged")
             size *= 2
         self.levels.append((size, array))
 
@@ -153,8 +156,8 @@ def intervals(row: np.ndarray, o: np.ndarray, n: int) -> list[list[int]]:
     return out
 
 
-def spans(docs: DataFrame, length: int = 400, block: int | None = None, batches: int = 4) -> tuple[DataFrame, int, Scratch]:
-    """(d, h, places), the begins and ends of removed bytes (unmerged, flattened), and their number."""
+def spans(docs: DataFrame, length: int = 400, block: int | None = None, batches: int = 4) -> DataFrame:
+    """(d, h, places): begins and ends of removed bytes, unmerged and flattened."""
     block = block or max(1, length * 16 // 25)
     disk = Scratch(docs.sparkSession, "suffix")
     base = pick(docs, "doc_id", "text").withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -166,10 +169,11 @@ def spans(docs: DataFrame, length: int = 400, block: int | None = None, batches:
         family.add(suffixes.where(F.col("batch") == b))
     noted = family.met()
     matched = disk.save(suffixes.drop("batch").join(noted, "key"), "matched")
+    for done in (suffixes, noted, *family.tables):
+        disk.drop(done)
     places = matched.groupBy(*KEY).agg(F.collect_list(F.struct("pos", "near", "far", "key")).alias("at"))
-    total = matched.count()
-    texts = base.select(F.col("doc_id").alias("d"), "h", "text")
-    here = texts.join(F.broadcast(places) if total <= BROADCAST_PLACES // 4 else places, KEY)
+    # no broadcast here: the places grow with the input
+    here = base.select(F.col("doc_id").alias("d"), "h", "text").join(places.hint("shuffle_merge"), KEY)
 
     def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in steps(frames, step=1 << 18):
@@ -184,6 +188,7 @@ def spans(docs: DataFrame, length: int = 400, block: int | None = None, batches:
 
     rich = here.mapInPandas(contexts, "key bigint, near int, far int, d bigint, h bigint, pos bigint, left binary, right binary")
     rich = disk.save(rich.withColumn("c", F.xxhash64("left", "right")), "contexts")
+    disk.drop(matched)
     klass = ["key", "near", "far", "c"]
     classes = disk.save(rich.groupBy(*klass).agg(F.count("*").alias("n"), F.min("left").alias("left"), F.min("right").alias("right")), "classes")
     crowd = disk.save(classes.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "crowds")
@@ -221,18 +226,22 @@ def spans(docs: DataFrame, length: int = 400, block: int | None = None, batches:
     few = several.where(F.col("m") <= CROWD).repartition("key").sortWithinPartitions("key").select(*klass, "n", "left", "right")
     few = few.mapInPandas(local, f"{kinds}, runs array<int>")
     many = several.where(F.col("m") > CROWD).select(*klass, "n", "left", "right").mapInPandas(single, f"{kinds}, n bigint, o int, f bigint")
-    many = disk.save(many, "strings")
-    twice = disk.save(many.groupBy("f").agg(F.sum("n").alias("t")).where("t > 1").select("f"), "twice")
-    many = many.join(twice, "f").select(*klass, F.array("o", "o").alias("runs"))
+    many_ = disk.save(many, "strings")
+    twice = disk.save(many_.groupBy("f").agg(F.sum("n").alias("t")).where("t > 1").select("f"), "twice")
+    many = many_.join(twice, "f").select(*klass, F.array("o", "o").alias("runs"))
     lone = classes.join(crowd, "key", "left_anti").where("n > 1").select(*klass, F.array("near", "far").alias("runs"))
     runs = few.where(F.size("runs") > 0).union(many).union(lone)
     runs = disk.save(runs.groupBy(*klass).agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
+    for done in (classes, crowd, many_, twice):
+        disk.drop(done)
     found = rich.select(*klass, *KEY, "pos").join(runs, klass)
     # a run of distances [a, b] to the anchor is the strings that begin in [pos - b, pos - a]
     at = F.transform(F.sequence(F.lit(0), F.size("runs") - 1, F.lit(2)), lambda i: F.array(F.col("pos") - F.element_at("runs", i + 2), F.col("pos") - F.element_at("runs", i + 1) + length))
     found = found.select(*KEY, F.flatten(at).alias("places")).groupBy(*KEY).agg(F.flatten(F.collect_list("places")).alias("places"))
     found = disk.save(found, "places")
-    return found, total, disk
+    disk.drop(rich)
+    disk.drop(runs)
+    return found
 
 
 def merged(places: np.ndarray) -> np.ndarray:
@@ -266,11 +275,10 @@ def report(docs: DataFrame, length: int = 400, batches: int = 4) -> DataFrame:
 
 
 def _removed(docs: DataFrame, length: int, batches: int, more, kinds: str) -> DataFrame:
-    found, total, _ = spans(docs, length, batches=batches)
-    few = total <= BROADCAST_PLACES // 4 and found.count() <= BROADCAST_ROWS
+    found = spans(docs, length, batches=batches)
     base = pick(docs, "doc_id", "text").withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
     base = base.select("doc_id", F.col("doc_id").alias("d"), "h", "text")
-    here = base.join(F.broadcast(found) if few else found, KEY, "left").select("doc_id", "text", "places")
+    here = base.join(found.hint("shuffle_merge"), KEY, "left").select("doc_id", "text", "places")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in steps(frames):
