@@ -96,8 +96,9 @@ def dedup(docs: DataFrame, min_chars: int = 200) -> DataFrame:
     gone = disk.save(gone.groupBy(*KEY).agg(F.collect_set(F.col("p").cast("int")).alias("gone")), "gone")
     names = [c for c in docs.columns]
     base = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-    # the list of deleted lines is sent whole only when the documents that lose lines are few
-    out = base.join(small(gone), KEY, "left")
+    # the deleted lines are sent whole only when they are few, all documents taken together
+    total = gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0]
+    out = base.join(small(gone, rows=total), KEY, "left")
     all_ = _lines(F.col("row.text"))
     keep = F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col("gone"))
     left = F.array_join(F.transform(keep, lambda i: F.element_at(all_, i + 1)), "\n")
