@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,7 +21,9 @@ def scratch_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     fallback = getattr(scratch_root, "fallback", None)
     if fallback is None:
-        fallback = scratch_root.fallback = "file://" + tempfile.mkdtemp(prefix="docloom-")
+        own = tempfile.mkdtemp(prefix="docloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        fallback = scratch_root.fallback = f"file://{own}"
     return fallback
 
 
