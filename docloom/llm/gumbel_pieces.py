@@ -44,7 +44,7 @@ OFFSET = 10.0
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Code points that are no characters; one that a text lacks stands for a literal mark.
 SPARE = ("￿", "￾", "﷐", "﷑", "﷒")
-STEP = 300_000
+STEP = 150_000
 SPREAD = U(0x9E3779B97F4A7C15)
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 
 U = np.uint64
 #: Bytes of text hashed at once; the tables take about 60 bytes for each.
-STEP = 1 << 21
+STEP = 1 << 20
 _rng = np.random.default_rng(20240607)
 BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 BASE = U(0x9E3779B97F4A7C15)
