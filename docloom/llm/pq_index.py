@@ -1,15 +1,19 @@
 """Embedding near-duplicates by product quantisation.
 
 Coarse inverted lists (k-means) hold residual subspace codes with the length of each code's error.
-Every class of equal vectors probes its nearest lists; asymmetric table look-ups give the distance
+Every class of equal vectors probes each list that can hold a vector within the threshold of it: the
+list's centre is within threshold + radius, and the vector is no further than the threshold beyond the
+bisector of its own centre and the list's. Asymmetric table look-ups give the distance
 from the exact query to a coded member, and since that differs from the true distance by at most
 the member's error, members further than threshold + error are dropped without loss. Survivors
-are reranked by exact cosine in double precision. A pair is looked for from both ends, and counted
-once. Recall is lost only where neither end probes the other's list.
+are reranked by exact cosine in double precision. A pair is looked for in the list of the higher
+number (in one list: from the smaller id) and counted once. No step loses a pair.
 
-Quantisers are fitted on a bounded sample (`sample` vectors); every vector is indexed. Lists that
-hold or are probed by many vectors are cut into cells of bounded size, all of which are worked
-through. A cell returns sums of links and a spanning forest, never its pairs.
+Quantisers are fitted on a bounded sample (`sample` vectors); every vector is indexed. Lists are put
+together in groups, and groups that hold or are probed by many vectors are cut into cells of bounded
+size, all of which are worked through. A cell returns sums of links and a spanning forest, never its
+pairs. Where lists are wide against the threshold (vectors without near ones, in many dimensions), nearly
+all lists are probed, and the work grows with the square of the rows.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with
 nothing, nor do vectors of another length than the most common one (ties: the smaller). Equal
@@ -29,7 +33,8 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import Scratch, connected_components, pick
 
-MEMBERS, ASKERS = 1024, 2048
+MEMBERS, ASKERS = 4096, 8192
+BLOCK = 256
 CODES = 64
 
 
@@ -72,14 +77,24 @@ class Quantiser:
             miss += ((part - book[near]) ** 2).sum(1)
         return code, np.sqrt(miss)
 
-    def distance(self, residual: np.ndarray, code: np.ndarray) -> np.ndarray:
-        """Distances of exact query residuals to coded members by table look-up."""
-        out = np.zeros((len(residual), len(code)))
+    def needed(self, x: np.ndarray, home: np.ndarray, lists: np.ndarray, radius: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each of `lists` can hold a vector within `reach` of each row, and its centre's squared distance."""
+        own, there = self.coarse[home], self.coarse[lists]
+        d = np.maximum((x * x).sum(1)[:, None] - 2 * x @ there.T + (there * there).sum(1)[None], 0)
+        near = ((x - own) ** 2).sum(1)[:, None]
+        apart = np.sqrt(np.maximum((own * own).sum(1)[:, None] - 2 * own @ there.T + (there * there).sum(1)[None], 0))
+        inside = np.sqrt(d) <= reach + np.minimum(radius[lists][None], np.sqrt(near) + reach) + 1e-6
+        return inside & (d - near <= 2 * reach * apart + 1e-6), d
+
+    def decode(self, code: np.ndarray) -> np.ndarray:
+        return np.concatenate([book[code[:, j]] for j, book in enumerate(self.books)], axis=1)
+
+    def products(self, x: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Inner products of coded residuals with exact queries by table look-up: a row for each code."""
+        out = np.zeros((len(code), len(x)))
         for j, book in enumerate(self.books):
-            part = residual[:, self.cuts[j] : self.cuts[j + 1]]
-            table = ((part[:, None] - book[None]) ** 2).sum(2)
-            out += table[:, code[:, j]]
-        return np.sqrt(out)
+            out += (book @ x[:, self.cuts[j] : self.cuts[j + 1]].T)[code[:, j]]
+        return out
 
 
 def fit(x: np.ndarray, total: int, probes: int, subspaces: int = 8, seed: int = 3) -> Quantiser:
@@ -96,21 +111,17 @@ def unit(column: pd.Series) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, least node of its component) that connect what the pairs (a, b) connect."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    p, q, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+def join(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """`label` (the least node of each node's component) after the links (p, q)."""
     while True:
-        least = np.minimum(label[p], label[q])
-        new = label.copy()
-        np.minimum.at(new, p, least)
-        np.minimum.at(new, q, least)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    moved = label != np.arange(len(nodes))
-    return nodes[moved], nodes[label[moved]]
+        a, b = label[p], label[q]
+        open_ = a != b
+        if not open_.any():
+            return label
+        p, q, a, b = p[open_], q[open_], a[open_], b[open_]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, probes: int = 32, sample: int = 12_000) -> DataFrame:
@@ -146,60 +157,92 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, probes: int = 32, s
             for lo in range(0, len(frame), 1024):
                 part = frame.iloc[lo : lo + 1024]
                 v = unit(part["embedding"])
-                near = nearest(v, quantiser.coarse, quantiser.probes)[0]
-                code, miss = quantiser.encode(v - quantiser.coarse[near[:, 0]])
-                yield pd.DataFrame({"a": part["a"], "n": part["n"], "home": near[:, 0], "probe": list(near.astype(np.int32)), "code": [c.tobytes() for c in code], "miss": miss, "v": [r.tobytes() for r in v]})
+                home = nearest(v, quantiser.coarse, 1)[0][:, 0]
+                rest = v - quantiser.coarse[home]
+                code, miss = quantiser.encode(rest)
+                yield pd.DataFrame({"a": part["a"], "n": part["n"], "home": home, "far": np.sqrt((rest * rest).sum(1)), "code": [c.tobytes() for c in code], "miss": miss, "v": [r.tobytes() for r in v]})
 
-    kinds = "a bigint, n bigint, home int, probe array<int>, code binary, miss double, v binary"
+    kinds = "a bigint, n bigint, home int, far double, code binary, miss double, v binary"
     indexed = disk.save(classes.mapInPandas(index, kinds), "index")
 
-    # cells of bounded size for lists with many members or many askers; one row for each list
-    held = {r[0]: r[1] for r in indexed.groupBy("home").count().collect()}
-    asked = {r[0]: r[1] for r in indexed.select(F.explode("probe").alias("l")).groupBy("l").count().collect()}
+    # lists of consecutive numbers form groups of about MEMBERS vectors
+    radius, held, group = np.full(len(quantiser.coarse), -np.inf), [0], np.zeros(len(quantiser.coarse), int)
+    for home, n, far in sorted(tuple(r) for r in indexed.groupBy("home").agg(F.count("*"), F.max("far")).collect()):
+        if held[-1] and held[-1] + n > MEMBERS:
+            held.append(0)
+        radius[home], group[home] = far, len(held) - 1
+        held[-1] += n
+    filled = np.flatnonzero(np.isfinite(radius))
+    block = lambda f: np.frombuffer(b"".join(f["v"]), np.float64).reshape(len(f), -1)
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for lo in range(0, len(frame), 1024):
+                part = frame.iloc[lo : lo + 1024]
+                v, home = block(part), part["home"].to_numpy()
+                probe = quantiser.needed(v, home, filled, radius, reach)[0]
+                np.put_along_axis(probe, nearest(v, quantiser.coarse[filled], quantiser.probes)[0], True, 1)  # as the least
+                probe &= filled[None] >= home[:, None]
+                to = [np.unique(group[filled[row]]).astype(np.int32) for row in probe]
+                yield part.assign(to=to)
+
+    asking = indexed.select("a", "n", "home", "v").mapInPandas(ask, "a bigint, n bigint, home int, v binary, to array<int>").select("a", "n", "home", "v", F.explode("to").alias("group"))
+    asked = {r[0]: r[1] for r in asking.groupBy("group").count().collect()}
+
+    # cells of bounded size; one row for each group
     cut = lambda n, by: int(-(-n // by))
-    grid = [(int(k), cut(held[k], MEMBERS), cut(asked.get(k, 0), ASKERS)) for k in held]
-    grid = F.broadcast(spark.createDataFrame(grid, "list int, ms int, qs int"))  # at most 4096 lists
+    grid = [(g, cut(n, MEMBERS), cut(asked.get(g, 0), ASKERS)) for g, n in enumerate(held)]
+    grid = F.broadcast(spark.createDataFrame(grid, "group int, ms int, qs int"))  # at most 4096 groups
+    of = F.broadcast(spark.createDataFrame([(int(k), int(group[k])) for k in filled], "home int, group int"))
     spot = F.pmod(F.xxhash64("a"), F.lit(1 << 40))
-    member = indexed.withColumn("list", F.col("home")).join(grid, "list").where("qs > 0").select(
-        F.lit(0).alias("role"), "list", F.pmod(spot, F.col("ms")).cast("int").alias("m"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), "a", "n", "home", "probe", "code", "miss", "v")
-    asker = indexed.withColumn("list", F.explode("probe")).join(grid, "list").select(
-        F.lit(1).alias("role"), "list", F.explode(F.sequence(F.lit(0), F.col("ms") - 1)).alias("m"), F.pmod(spot, F.col("qs")).cast("int").alias("q"), "a", "n", "home",
-        F.lit(None).cast("array<int>").alias("probe"), F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("miss"), "v")
+    member = indexed.join(of, "home").join(grid, "group").where("qs > 0").select(
+        F.lit(0).alias("role"), "group", F.pmod(spot, F.col("ms")).cast("int").alias("m"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"), "a", "n", "home", "code", "miss", "v")
+    asker = asking.join(grid, "group").select(
+        F.lit(1).alias("role"), "group", F.explode(F.sequence(F.lit(0), F.col("ms") - 1)).alias("m"), F.pmod(spot, F.col("qs")).cast("int").alias("q"), "a", "n", "home",
+        F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("miss"), "v")
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
-        there, here = frame[frame["role"] == 0], frame[frame["role"] == 1]
-        none = pd.DataFrame({"a": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "to": pd.Series(dtype="int64")})
+        # sorted by list, so that a block of askers needs few lists where the vectors have groups
+        there, here = (frame[frame["role"] == r].sort_values(["home", "a"]) for r in (0, 1))
         if not len(there) or not len(here):
-            return none
-        centre = quantiser.coarse[int(frame["list"].iloc[0])]
-        block = lambda f: np.frombuffer(b"".join(f["v"]), np.float64).reshape(len(f), -1)
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "to": pd.Series(dtype="int64")})
         x, q = block(there), block(here)
         code = np.frombuffer(b"".join(there["code"]), np.uint8).reshape(len(there), -1)
-        limit = there["miss"].to_numpy(float) + reach
-        xa, qa, home = there["a"].to_numpy(), here["a"].to_numpy(), here["home"].to_numpy()
-        probe = np.zeros((len(there), len(quantiser.coarse)), bool)
-        for i, lists in enumerate(there["probe"]):
-            probe[i, lists] = True
-        pairs = []
-        for lo in range(0, len(q), 128):
-            i, j = np.nonzero(quantiser.distance(q[lo : lo + 128] - centre, code) <= limit)
-            i += lo
-            ok = (qa[i] < xa[j]) | ((qa[i] > xa[j]) & ~probe[j, home[i]])
-            i, j = i[ok], j[ok]
-            for at in range(0, len(i), 1 << 16):
-                s = slice(at, at + (1 << 16))
-                good = np.einsum("ij,ij->i", q[i[s]], x[j[s]]) >= cosine
-                pairs.append((i[s][good], j[s][good]))
-        i, j = (np.concatenate(p) for p in zip(*pairs, strict=True)) if pairs else (np.empty(0, int),) * 2
-        if not len(i):
-            return none
+        xa, qa, xh, qh = there["a"].to_numpy(), here["a"].to_numpy(), there["home"].to_numpy(), here["home"].to_numpy()
         xn, qn = there["n"].to_numpy(float), here["n"].to_numpy(float)
-        links = pd.DataFrame({"a": np.concatenate([qa, xa]), "links": np.concatenate([np.bincount(i, xn[j], len(q)), np.bincount(j, qn[i], len(x))]).astype(np.int64)})
-        node, root = forest(qa[i], xa[j])
-        links = links[links["links"] > 0]
-        return pd.concat([links.assign(to=links["a"]), pd.DataFrame({"a": node, "links": 0, "to": root})])[["a", "links", "to"]]
-
-    found = member.unionByName(asker).groupBy("list", "m", "q").applyInPandas(search, "a bigint, links bigint, to bigint")
+        lists, at = np.unique(xh, return_inverse=True)
+        # |query - (centre + code)|^2 = |query - centre|^2 + rest - 2 * product of the query with the code
+        part = quantiser.decode(code)
+        rest = (part * part).sum(1) + 2 * (quantiser.coarse[xh] * part).sum(1)
+        limit = (there["miss"].to_numpy(float) + reach) ** 2 + 1e-6
+        nodes, spots = np.unique(np.concatenate([qa, xa]), return_inverse=True)
+        qs, xs, label, links = spots[: len(qa)], spots[len(qa) :], np.arange(len(nodes)), np.zeros(len(nodes))
+        for lo in range(0, len(q), BLOCK):
+            s = slice(lo, lo + BLOCK)
+            need, d = quantiser.needed(q[s], qh[s], lists, radius, reach)
+            need &= lists[None] >= qh[s][:, None]
+            c = np.flatnonzero(need.any(0)[at])
+            if not len(c):
+                continue
+            near = d.T[at[c]] + rest[c][:, None] - 2 * quantiser.products(q[s], code[c]) <= limit[c][:, None]
+            near &= need.T[at[c]] & ((xh[c][:, None] > qh[s][None]) | (xa[c][:, None] > qa[s][None]))
+            row = np.flatnonzero(near.any(1))
+            near, c = near[row], c[row]
+            dot = x[c] @ q[s].T
+            j, i = np.nonzero(near & (dot >= cosine - 1e-9))
+            # products so close to the threshold that the order of the sum counts are taken pair by pair
+            tight = np.flatnonzero(dot[j, i] < cosine + 1e-9)
+            good = np.ones(len(j), bool)
+            good[tight] = np.einsum("ij,ij->i", q[lo + i[tight]], x[c[j[tight]]]) >= cosine
+            i, j = lo + i[good], c[j[good]]
+            links += np.bincount(qs[i], xn[j], len(nodes)) + np.bincount(xs[j], qn[i], len(nodes))
+            label = join(label, qs[i], xs[j])
+        some = links > 0
+        moved = np.flatnonzero(label != np.arange(len(nodes)))
+        sums = pd.DataFrame({"a": nodes[some], "links": links[some].astype(np.int64), "to": nodes[some]})
+        return pd.concat([sums, pd.DataFrame({"a": nodes[moved], "links": 0, "to": nodes[label[moved]]})])
+
+    found = member.unionByName(asker).groupBy("group", "m", "q").applyInPandas(search, "a bigint, links bigint, to bigint")
     found = disk.save(found, "found")
     comp = connected_components(found.where("links = 0").select("a", F.col("to").alias("b")), disk)
     sums = found.groupBy("a").agg(F.sum("links").alias("links"))

@@ -122,6 +122,18 @@ def test_pq_links(spark):
     assert {r.n_links for r in pq_index.near_duplicates(df.where("embedding is null or size(embedding) = 0")).collect()} == {0}
 
 
+def test_pq_loses_no_pair_of_a_dense_group(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 24))
+    x[:300] = x[0] + 0.3 * rng.normal(size=(300, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    near = x @ x.T >= 0.9
+    got = {r.vec_id: r for r in pq_index.near_duplicates(df, probes=1).collect()}
+    assert [got[i].n_links for i in range(len(x))] == (near.sum(1) - 1).tolist() and near.sum() > 20_000
+    assert [got[i].component_id for i in range(len(x))] == components(len(x), lambda i, j: near[i, j])
+
+
 def test_language_id(spark):
     rng = random.Random(4)
     pool = {"en": "the of and that with which".split(), "de": "der die und nicht ist für".split(), "fr": "le la et que dans être".split(), "es": "el que y los está año".split()}
