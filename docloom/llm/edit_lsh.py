@@ -9,9 +9,11 @@ item-sized windows worth looking at are those that line up an equal piece; this
 Windows and items are embedded by CGK random walks (a shared random bit for each step and word says
 whether the walk moves on in the word sequence), which map an edit distance e to a Hamming distance of about e * e
 at most. Repetition r samples `bits` positions of its own walk; a window is a candidate of an item when any
-repetition agrees in all its samples. The number of repetitions is derived from the target recall at
-the largest allowed distance. Candidates are verified by the exact edit distance of the item to
-the best stretch around the window.
+repetition agrees in all its samples. Candidates are verified first, by the exact edit distance of the item to
+the best stretch around the window. The repetitions, whose number is an estimate for the target recall at the
+largest allowed distance, only rank the windows: the others are verified after them, unless the
+stretch around holds fewer than n - distance words of the item, or the item has been found
+unchanged in the text. So no match is lost.
 
 Items travel to the workers in blocks of a bounded number of words; each block is matched against
 all rows. Defined results: null or empty texts match nothing; items without a word match nothing;
@@ -84,6 +86,18 @@ def distance_in(item: np.ndarray, text: np.ndarray) -> int:
     return int(row.min())
 
 
+def distances_in(item: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """`distance_in` of the item and each row of `texts`; 0 pads a row."""
+    row = np.zeros((len(texts), texts.shape[1] + 1), np.int32)
+    j = np.arange(texts.shape[1] + 1, dtype=np.int32)
+    best = np.empty_like(row)
+    for i, w in enumerate(item, 1):
+        best[:, 0] = i
+        np.minimum(row[:, :-1] + (texts != w), row[:, 1:] + 1, out=best[:, 1:])
+        row = np.minimum.accumulate(best - j, axis=1) + j
+    return row.min(axis=1)
+
+
 class Items:
     """Pieces, signatures and lengths of a block of items."""
 
@@ -151,21 +165,27 @@ def matches(items: Items, h: np.ndarray, text: np.ndarray, at: np.ndarray) -> li
     out: dict[tuple[int, int], int] = {}
     for me in np.unique(spots[:, 0]).tolist():
         w, far = items.words[me], items.far[me]
-        mine = spots[spots[:, 0] == me]
+        mine, known = spots[spots[:, 0] == me], np.unique(w)
         for block in np.array_split(mine, max(1, len(mine) // 512)):
             first, last = at[block[:, 2]], at[block[:, 2] + 1]
-            index = block[:, 1:2] + np.arange(len(w))
-            inside = (index >= first[:, None]) & (index < last[:, None])
-            window = np.where(inside, h[np.clip(index, 0, len(h) - 1)], U(0))
-            sig = signatures(window, len(w), 1 + max(r for r, _ in items.sig[me]), items.bits)
-            for k in range(len(block)):
-                doc = int(block[k, 2])
-                if out.get((doc, me), far + 1) == 0 or not any((r, s) in items.sig[me] for r, s in enumerate(sig[k].tolist())):
+            index = block[:, 1:2] + np.arange(-far, len(w) + far)
+            around = np.where((index >= first[:, None]) & (index < last[:, None]), h[np.clip(index, 0, len(h) - 1)], U(0))
+            # an alignment within the distance keeps n - distance words of the item
+            shared = known[np.minimum(np.searchsorted(known, around), len(known) - 1)] == around
+            enough = shared.sum(1) >= len(w) - far
+            block, around = block[enough], around[enough]
+            if not len(block):
+                continue
+            sig = signatures(around[:, far : far + len(w)], len(w), 1 + max(r for r, _ in items.sig[me]), items.bits)
+            likely = np.array([any((r, s) in items.sig[me] for r, s in enumerate(row)) for row in sig.tolist()])
+            for chosen in (likely, ~likely):
+                chosen = np.flatnonzero(chosen)
+                chosen = chosen[[out.get((doc, me), far + 1) > 0 for doc in block[chosen, 2].tolist()]] if len(chosen) else chosen
+                if not len(chosen):
                     continue
-                a, b = max(int(first[k]), int(block[k, 1]) - far), min(int(last[k]), int(block[k, 1]) + len(w) + far)
-                d = distance_in(w, h[a:b])
-                if d <= far:
-                    out[(doc, me)] = min(d, out.get((doc, me), far + 1))
+                for doc, d in zip(block[chosen, 2].tolist(), distances_in(w, around[chosen]).tolist(), strict=True):
+                    if d <= far:
+                        out[(doc, me)] = min(d, out.get((doc, me), far + 1))
     return [(doc, me, d) for (doc, me), d in sorted(out.items())]
 
 

@@ -6,6 +6,7 @@ import re
 import string
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,6 +219,21 @@ def test_cgk_lsh_finds_edited_items(spark):
     assert edit_lsh.contaminated(empty(spark), bench).count() == 0 and edit_lsh.contaminated(docs(spark), bench.limit(0)).count() == 0
 
 
+def test_edits_at_the_largest_distance_are_all_found():
+    rng = np.random.default_rng(9)
+    for n in (20, 40, 59):
+        d = n // 5
+        base = [rng.integers(1, 1 << 40, n).astype(np.uint64) for _ in range(60)]
+        for k, w in enumerate(base):
+            spots = np.sort(rng.choice(n, d, replace=False))
+            new = rng.integers(1 << 41, 1 << 42, d).astype(np.uint64)
+            edited = [np.delete(w, spots), np.insert(w, spots, new), np.where(np.isin(np.arange(n), spots), new[0], w)][k % 3]
+            text = np.concatenate([rng.integers(1 << 43, 1 << 44, 30).astype(np.uint64), edited, rng.integers(1 << 43, 1 << 44, 30).astype(np.uint64)])
+            one = edit_lsh.Items([k], [" ".join(f"w{x}" for x in w)], 0.8, 5, 3, 0.99)
+            h = edit_lsh.Words(edit_lsh.lowered(pd.Series([" ".join(f"w{x}" for x in text)], dtype=object)), edit_lsh.GAP)
+            assert one.far == [d] and edit_lsh.matches(one, h.hash, h.text, h.at) == [(0, 0, edit_lsh.distance_in(one.words[0], h.hash))], (n, k)
+
+
 def test_edit_distance_in_text():
     a = lambda s: np.array([ord(c) for c in s], np.uint64)
     assert [edit_lsh.distance_in(a("abcd"), a(t)) for t in ("xxabcdyy", "xxabdyy", "axbxcxd", "zz")] == [0, 1, 3, 4]
