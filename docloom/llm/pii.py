@@ -186,7 +186,7 @@ FIND: list[tuple[str, str, re.Pattern, Callable]] = [
     ("account", "", re.compile(r"(?<![A-Za-z0-9+.-])\d{9,19}(?![A-Za-z0-9])"), lambda m, k, b: _number(m, k, b, False)),
     ("phone", "", re.compile(r"(?<![\w+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]\d{2,4}){2,4}(?!\d)|(?<![\w+(])\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<!\w)\+\d{10,15}(?!\d)|(?<![\w+(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)"), _phone),
 ]
-DIGIT = re.compile(r"\d{2}")
+DIGIT = re.compile(r"\d")
 
 
 def found(text: str, key: bytes, back: bool = False) -> list[tuple[int, int, str, str]]:

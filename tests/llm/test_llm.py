@@ -277,6 +277,14 @@ def test_pii_round_trip_and_links(spark):
     assert pii.pseudonymize(df, b"other").where("doc_id = 10").first().text != got[10].text and pii.report(empty(spark), b"k").count() == 0
 
 
+def test_pii_of_single_digits_alone_in_a_text(spark):
+    rows = ["8.8.8.8", "card 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "dns 8.8.8.8 in 24"]
+    out = pii.pseudonymize(docs(spark, rows), b"k")
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[0].pii_counts == got[2].pii_counts == {"ipv4": 1} and got[1].pii_counts == {"card": 1}
+    assert got[0].text != rows[0] and got[0].text in got[2].text and {r.doc_id: r.text for r in pii.restore(out, b"k").collect()} == dict(enumerate(rows))
+
+
 def test_permutation_is_one():
     for size in (1, 2, 3, 10, 997):
         image = [pii.permute(i, size, b"k", "t") for i in range(size)]
