@@ -112,6 +112,14 @@ def test_knn_ties_and_short_index(spark):
     assert retrieval.knn(q.limit(0), index, 3).count() == 0
 
 
+def test_knn_ties_of_many_near_copies(spark):
+    rows = [(i, [1.0 + (200 - i) * 1e-13, 0.5]) for i in range(200)]
+    index = spark.createDataFrame(rows, "row_pos long, vector array<double>").repartition(1)
+    q = spark.createDataFrame([("a", [0.0, 0.0])], "q_id string, q_vec array<double>")
+    got = retrieval.knn(q, index, 5).orderBy("rank").collect()
+    assert [r.row_pos for r in got] == [0, 1, 2, 3, 4]
+
+
 def test_entity_search_finds_terms_inside_entities(spark):
     chunks = spark.createDataFrame([(f"c{i}", "d", 1, i, i + 1, "t") for i in range(4)], "chunk_id string, doc_id string, page_num int, start_char int, end_char int, text_clean string")
     m = spark.createDataFrame([("c0", "e1", "Neural Nets"), ("c0", "e2", "Network"), ("c1", "e1", "Neural Nets"), ("c2", "e3", "Other"), ("c3", "e4", "ne")], "chunk_id string, entity_id string, entity_text string")
