@@ -3,28 +3,47 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when its counted rows are below this bound.
-BROADCAST_ROWS = 500_000
+#: A side is broadcast only when its counted rows, at the width of its columns, are below this bound.
+BROADCAST_BYTES = 32_000_000
+_bases: set[str] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is set (tests)."""
+    """The shared folder that the cluster names; one of this machine only where none is set and all of Spark runs on it."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    fallback = getattr(scratch_root, "fallback", None)
-    if fallback is None:
-        own = tempfile.mkdtemp(prefix="docloom-")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    own = getattr(scratch_root, "own", None)
+    if own is None:
+        own = scratch_root.own = tempfile.mkdtemp(prefix="docloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
-        fallback = scratch_root.fallback = f"file://{own}"
-    return fallback
+    return f"file://{own}"
+
+
+def delete(path: str) -> None:
+    """Removes a path of any store that Spark reads."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _sweep() -> None:
+    """At the end of the driver, whatever results were still read from goes."""
+    for base in _bases:
+        delete(base)
 
 
 class Scratch:
@@ -34,6 +53,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{scratch_root(spark)}/docloom-{name}-{uuid.uuid4().hex}"
         self.n = 0
+        _bases.add(self.base)
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
@@ -47,15 +67,16 @@ class Scratch:
         """Removes one saved table that no later step reads."""
         path = getattr(df, "_docloom_path", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            delete(path)
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """A broadcast hint when the counted rows are below the bound, else the frame as it is."""
+    """A broadcast hint when the counted rows are below the bound, else the frame as it is.
+
+    For columns of numbers only; where there are arrays, `rows` counts their elements as well.
+    """
     n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+    return F.broadcast(df) if n * (16 + 8 * len(df.columns)) <= BROADCAST_BYTES else df
 
 
 def pick(docs: DataFrame, *names: str) -> DataFrame:
@@ -75,25 +96,22 @@ def connected_components(links: DataFrame, scratch: Scratch, a: str = "a", b: st
     while True:
         # large star: every larger neighbour of u is linked to the least node around u
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # nodes with no smaller neighbour of their own keep the link to their least neighbour
         large = scratch.save(large.where("u <> v").distinct(), "large")
-        scratch.drop(least)
         # small star: u and its smaller neighbours are linked to the least of them
-        least = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small_ = (
             large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         )
-        after = scratch.save(small_, "edges")
-        scratch.drop(least)
+        seen = Observation()
+        after = scratch.save(small_.observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "edges")
         scratch.drop(large)
         scratch.drop(edges)
-        edges = after
-        row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == (row[0], row[1]):
+        edges, before, mark = after, mark, (seen.get["n"], seen.get["x"])
+        if mark == before or not mark[0]:
             break
-        mark = (row[0], row[1])
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
