@@ -30,7 +30,7 @@ from docloom.llm.textkernel import steps
 DIM = 1 << 13
 ORDERS = (1, 2, 3, 4)
 STEP = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
+ASCII_LETTER = re.compile("[A-Za-z]")
 #: Family of an ISO 639-1 code. Other codes form a family of their own.
 FAMILY = {
     "en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic",
@@ -39,6 +39,11 @@ FAMILY = {
 }
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is alphabetic; superscripts, fractions and circled digits are not."""
+    return ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text))
+
+
 def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     """Hashed n-grams of each order at every byte of the joined texts; where each text begins."""
     raws = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
@@ -162,15 +167,18 @@ def decide(model: Model, m: np.ndarray) -> tuple[list[str], np.ndarray]:
     return list(names), score
 
 
-def train(docs: DataFrame, sample: int = 1600) -> Model:
-    """`docs` (doc_id, text, lang): fits on about `sample` rows in all, as many for each language."""
+def train(docs: DataFrame, sample: int = 1600, languages: int = 100) -> Model:
+    """`docs` (doc_id, text, lang): fits on about `sample` rows in all, as many for each language.
+
+    Learns the `languages` most frequent values of lang (ties: the first in alphabetical order).
+    """
     rows = pick(docs, "doc_id", "text", "lang").where("text is not null and lang is not null")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not counts:
         return Model()
     each = max(sample // len(counts), 1)
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, each / n))])
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    chosen = rows.where(F.col("lang").isin(list(counts))).where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
 
     def feature(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in steps(frames, step=STEP):
@@ -189,7 +197,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for part in steps(frames, step=STEP):
             texts = [t if t is not None else "" for t in part["text"]]
             names, score = decide(model, margins(model, texts)) if model.families else ([None] * len(texts), np.zeros(len(texts)))
-            fine = [bool(model.families) and LETTER.search(t) is not None for t in texts]
+            fine = [bool(model.families) and has_letter(t) for t in texts]
             yield pd.DataFrame({
                 "doc_id": part["doc_id"].to_numpy(),
                 "lang_pred": [n if ok else "und" for n, ok in zip(names, fine, strict=True)],

@@ -29,6 +29,11 @@ from docloom.llm.common import Scratch, small
 KEY = ["d", "h"]
 
 
+def _identity() -> tuple[Column, Column]:
+    """d, the document in joins and orders (a null doc_id is the least number), and h, the hash of its text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")
+
+
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
@@ -36,7 +41,7 @@ def _lines(text: Column) -> Column:
 def repeated_runs(docs: DataFrame, min_chars: int, disk: Scratch) -> DataFrame:
     """(d, h, a, n): runs of n lines from line a of a document that have an earlier copy."""
     text = F.col("text")
-    lines = docs.select(F.col("doc_id").alias("d"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), F.posexplode(_lines(text)).alias("p", "line"))
+    lines = docs.select(*_identity(), F.posexplode(_lines(text)).alias("p", "line"))
     lines = lines.select(*KEY, "p", F.xxhash64("line").alias("id"), (F.length("line") + 1).cast("long").alias("n"))
     in_doc = Window.partitionBy(*KEY)
     lines = lines.withColumn("e", F.sum("n").over(in_doc.orderBy("p"))).withColumn("s", F.col("e") - F.col("n"))
@@ -94,17 +99,18 @@ def dedup(docs: DataFrame, min_chars: int = 200) -> DataFrame:
     gone = repeated_runs(docs.select("doc_id", "text"), min_chars, disk)
     gone = gone.select(*KEY, F.explode(F.sequence(F.col("a"), F.col("a") + F.col("n") - 1)).alias("p"))
     gone = disk.save(gone.groupBy(*KEY).agg(F.collect_set(F.col("p").cast("int")).alias("gone")), "gone")
-    names = [c for c in docs.columns]
-    base = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "emptied")]
+    whole = "row" + "_" * max(map(len, docs.columns))  # no column has this name
+    base = docs.select(F.struct("*").alias(whole), *_identity())
     # the deleted lines are sent whole only when they are few, all documents taken together
     total = gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0]
     out = base.join(small(gone, rows=total), KEY, "left")
-    all_ = _lines(F.col("row.text"))
+    all_ = _lines(F.col(whole)["text"])
     keep = F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col("gone"))
     left = F.array_join(F.transform(keep, lambda i: F.element_at(all_, i + 1)), "\n")
-    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(left)
+    text = F.when(F.col("gone").isNull(), F.col(whole)["text"]).otherwise(left)
     return out.select(
-        *[(text if c == "text" else F.col("row").getField(c)).alias(c) for c in names],
+        *[(text if c == "text" else F.col(whole).getField(c)).alias(c) for c in names],
         F.size(all_).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
         (F.col("gone").isNotNull() & ~F.coalesce(text, F.lit("")).rlike(r"\S")).alias("emptied"),
     )

@@ -1,14 +1,16 @@
 """PII: format-preserving Feistel pseudonyms.
 
 Values are found, validated, turned into an integer within their format, permuted by a keyed
-balanced Feistel network (keyed BLAKE2b rounds, walked on until the result is in the format again),
-and written back in the same layout. The permutation depends on the key and the kind only, so equal
-values stay linked across documents, and `restore` inverts it.
+balanced Feistel network (keyed BLAKE2b rounds), and written back in the same layout. The walk goes on
+until the result has the format again: as many characters, read as the same kind in the same way. The
+permutation depends on the key and the kind only, so equal values stay linked across documents, and
+`restore` inverts it.
 
 Kinds, in order of precedence: email (letters and digits of the local part and of the domain before
-its last label, by character class), ipv4 (four numbers of 0 to 255), date (a day of 1900 to 2099 as
-y-m-d, d/m/y or d.m.y), ssn (ddd-dd-dddd with a valid area), iban (mod 97; the check digits are
-made anew), card (13 to 19 digits with a valid Luhn digit, which is made anew), account (9 to 19
+its last label, by character class), ipv4 (four numbers of 0 to 255, each with as many digits as before), date
+(a day of 1900 to 2099 as y-m-d, y/m/d, d/m/y, m/d/y where it can't be d/m/y, d.m.y, or with an English month;
+day and month keep their numbers of characters), ssn (ddd-dd-dddd with a valid area), iban (mod 97; the check
+digits are made anew), card (13 to 19 digits with a valid Luhn digit, which is made anew), account (9 to 19
 digits without one, kept so), phone (10 to 15 digits with a plus sign or separators; the country code
 stays). Anything that fails its validation is not a value of that kind.
 
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 from functools import lru_cache
@@ -98,24 +101,60 @@ def _ipv4(m: str, key: bytes, back: bool) -> str | None:
     parts = m.split(".")
     if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
         return None
-    n = permute(int.from_bytes(bytes(map(int, parts)), "big"), 1 << 32, key, "ipv4", back)
-    return ".".join(map(str, n.to_bytes(4, "big")))
+    ranges = [((0, 10), (10, 90), (100, 156))[len(p) - 1] for p in parts]  # first number and how many there are
+    value, size = 0, 1
+    for p, (first, n) in zip(parts, ranges, strict=True):
+        value, size = value * n + int(p) - first, size * n
+    value = permute(value, size, key, f"ipv4:{','.join(str(len(p)) for p in parts)}", back)
+    out = []
+    for first, n in reversed(ranges):
+        value, rest = divmod(value, n)
+        out.append(str(first + rest))
+    return ".".join(reversed(out))
+
+
+#: English names of the months; the first three letters are their short forms.
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+
+
+def _read_date(m: str) -> tuple[date, tuple] | None:
+    """The day, and the layout: separators, which part is what, and the lengths of day and month."""
+    parts, gaps = re.findall(r"\w+", m), re.findall(r"\W+", m)
+    orders = ("ymd",) if len(parts[0]) == 4 and parts[0].isdigit() else ("mdy",) if parts[0].isalpha() else ("dmy", "mdy") if gaps[0] == "/" else ("dmy",)
+    for order in orders:
+        of = dict(zip(order, parts, strict=True))
+        month, name = of["m"], of["m"].isalpha()
+        if name:
+            word = month.lower()
+            month = next((i for i, x in enumerate(MONTHS, 1) if word in (x, x[:3])), 0)
+        try:
+            day = date(int(of["y"]), int(month), int(of["d"]))
+        except ValueError:
+            continue
+        if 0 <= (day - FIRST_DAY).days < DAYS:
+            case = (of["m"].isupper(), of["m"].islower()) if name else ()
+            return day, (order, tuple(gaps), len(of["d"]), len(of["m"]), name, case)
+    return None
 
 
 def _date(m: str, key: bytes, back: bool) -> str | None:
-    sep = next(c for c in m if not c.isdigit())
-    parts = m.split(sep)
-    y, mo, d = map(int, parts if len(parts[0]) == 4 else parts[::-1])
-    try:
-        n = (date(y, mo, d) - FIRST_DAY).days
-    except ValueError:
+    found_ = _read_date(m)
+    if found_ is None:
         return None
-    if not 0 <= n < DAYS:
-        return None
-    new = FIRST_DAY + timedelta(permute(n, DAYS, key, "date", back))
-    padded = all(len(p) > 1 for p in parts)
-    two = f"{new.month:02d}" if padded else str(new.month), f"{new.day:02d}" if padded else str(new.day)
-    return sep.join([str(new.year), *two] if len(parts[0]) == 4 else [two[1], two[0], str(new.year)])
+    day, layout = found_
+    order, gaps, days, months, name, case = layout
+    n = (day - FIRST_DAY).days
+    while True:  # on to a day that has this layout too
+        n = permute(n, DAYS, key, "date", back)
+        new = FIRST_DAY + timedelta(n)
+        word = MONTHS[new.month - 1]
+        word = (word[:3] if months == 3 else word) if name else f"{new.month:0{months}d}"
+        word = word.upper() if case == (True, False) else word if case == (False, True) else word.title() if name else word
+        of = {"y": str(new.year), "m": word, "d": f"{new.day:0{days}d}"}
+        a, b, c = (of[x] for x in order)
+        text = f"{a}{gaps[0]}{b}{gaps[1]}{c}"
+        if len(text) == len(m) and _read_date(text) == (new, layout):
+            return text
 
 
 def _valid_ssn(n: int) -> bool:
@@ -139,7 +178,7 @@ def _mod97(text: str) -> int:
 
 def _iban(m: str, key: bytes, back: bool) -> str | None:
     plain = m.replace(" ", "")
-    if not 15 <= len(plain) <= 34 or _mod97(plain) != 1:
+    if not 15 <= len(plain) <= 34 or _mod97(plain) != 1 or not 2 <= int(plain[2:4]) <= 98:
         return None
     body = _classes(plain[4:], key, "iban", back)
     check = 98 - _mod97(plain[:2] + "00" + body)
@@ -179,7 +218,10 @@ def _phone(m: str, key: bytes, back: bool) -> str | None:
 FIND: list[tuple[str, str, re.Pattern, Callable]] = [
     ("email", "@", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])"), _email),
     ("ipv4", ".", re.compile(r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)"), _ipv4),
-    ("date", "", re.compile(r"(?<![\d./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![./-]?\d)"), _date),
+    ("date", "", re.compile(
+        r"(?<![\w./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}"
+        r"|\d{1,2} [A-Za-z]{3,9} \d{4}|[A-Za-z]{3,9} \d{1,2}, \d{4})(?![./-]?\d|[A-Za-z_])"
+    ), _date),
     ("ssn", "-", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), _ssn),
     ("iban", "", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), _iban),
     ("card", "", re.compile(r"(?<![\d+.-])\d(?:[ -]?\d){12,18}(?![\d-])"), lambda m, k, b: _number(m, k, b, True)),
@@ -189,20 +231,41 @@ FIND: list[tuple[str, str, re.Pattern, Callable]] = [
 DIGIT = re.compile(r"\d")
 
 
+def kind_of(value: str, key: bytes) -> str | None:
+    """The first kind that takes the whole value."""
+    return next((kind for kind, _, pattern, change in FIND if pattern.fullmatch(value) and change(value, key, False) is not None), None)
+
+
+@lru_cache(maxsize=100_000)
+def pseudonym(value: str, kind: str, key: bytes, back: bool) -> str | None:
+    """The value's pseudonym, walked on until it is read as the same kind; None if the value is not of that kind."""
+    change = next(c for k, _, _, c in FIND if k == kind)
+    new = change(value, key, back)
+    if new is None or kind_of(value, key) != kind:
+        return new
+    while kind_of(new, key) != kind:
+        new = change(new, key, back)
+    return new
+
+
 def found(text: str, key: bytes, back: bool = False) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of the values of a text, in order, without overlaps."""
     out: list[tuple[int, int, str, str]] = []
     digit = DIGIT.search(text) is not None
-    for kind, needs, pattern, change in FIND:
+    for kind, needs, pattern, _ in FIND:
         if (kind != "email" and not digit) or (needs and needs not in text):
             continue
+        more = []
         for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b, _, _ in out):
+            at = bisect(out, (m.start(),))
+            if (at < len(out) and out[at][0] < m.end()) or (at and out[at - 1][1] > m.start()):
                 continue
-            new = change(m[0], key, back)
+            new = pseudonym(m[0], kind, key, back)
             if new is not None:
-                out.append((m.start(), m.end(), kind, new))
-    return sorted(out)
+                more.append((m.start(), m.end(), kind, new))
+        if more:
+            out = sorted(out + more)
+    return out
 
 
 def replaced(text: str, spans: list[tuple[int, int, str, str]]) -> str:

@@ -3,11 +3,15 @@
 Base kinds (assign, access, hex) are leftmost non-overlapping matches of fixed patterns; matches
 that are too short are dropped. The entropy kinds look at candidate strings, maximal runs of a
 character class (hexrun: hexadecimal digits; alnum: letters and digits; base64: letters, digits and
-+ / _ -), and slide a window over each. Counts of the characters in the window are kept in an
-array; moving the window changes two of them, and the sum of c * log2(c) from which the entropy
-follows is corrected by the change of those two terms. A candidate is a secret when the highest
-window entropy reaches the class's threshold, the window mixes letters and digits, and no allow-list
-pattern matches (UUIDs, identifiers in one case without digits, repeated characters, file paths).
++ / _ -), and slide a window over each. Counts of the characters in the window are kept as five bits each in
+six numbers; moving the window changes two of them, and the sum of c * log2(c) from which the entropy
+follows is corrected by the change of those two terms, whatever the window or the alphabet. A candidate is a
+secret when the highest window entropy reaches the class's threshold, the candidate mixes letters and
+digits, and no allow-list pattern matches it as a whole (UUIDs, words without digits, one repeated character, file
+paths, placeholders).
+
+Work is in proportion to the text, also for a candidate as long as the text; for the n spans of one text it
+is n * BLOCK steps.
 
 Defined results: null texts are empty texts and have no spans; the digest of no span is the SHA-256
 of the empty string. Offsets count code points; ends are exclusive. Repeated rows are scanned one
@@ -16,6 +20,8 @@ by one; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from math import log2
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,51 +42,75 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 #: Candidates that are no secrets.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[A-Za-z_/+-]+=*$", r"^[0-9]+$", r"(.)\1{7,}", r"^/?(?:[a-z]+/)+[a-z0-9_-]*$", r"^(?i:example|sample|test|dummy|placeholder)",
+    r"^[A-Za-z_/+-]+=*$", r"^[0-9]+$", r"^(.)\1*$", r"^/?(?:[a-z]+/)+[a-z0-9_-]*$", r"^(?i:example|sample|test|dummy|placeholder)",
 )
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 
 
+SPAN = "array<struct<start:int,end:int,rank:int,kind:string,hit:string>>"
+#: Spans of a text that are gathered in one array before the arrays are put together.
+BLOCK = 128
+
+
+def let(value: Column, use) -> Column:
+    """`use` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def spans(text: Column, pattern: str, kind: str, rank: int) -> Column:
     """array<struct<start, end, rank, kind, hit>> of all leftmost non-overlapping matches.
 
     The pieces between the matches and the matches alternate, so running lengths give offsets.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,rank:int,kind:string,hit:string>>").alias("out"))
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    size = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))
+    none = F.array().cast(SPAN)
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
-        one = F.struct(begin.alias("start"), end.alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["hit"].alias("hit"))
-        return F.struct(end.alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"))
+    def block(start: Column, part: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            begin, end = acc["at"] + F.length(x["gap"]), acc["at"] + size(x)
+            one = F.struct(begin.alias("start"), end.alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["hit"].alias("hit"))
+            return F.struct(end.alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"))
 
-    found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(start["out"])
+        return F.aggregate(part, F.struct(start.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def blocks(p: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), ((F.size(p) - 1) / BLOCK).cast("int")), lambda b: F.slice(p, (b * BLOCK + 1).cast("int"), F.lit(BLOCK)))
+        return let(parts, placed)
+
+    def placed(parts: Column) -> Column:
+        sizes = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda s, x: s + size(x)))
+        starts = F.aggregate(sizes, F.array(F.lit(0)), lambda at, n: F.concat(at, F.array(F.element_at(at, -1) + n)))
+        return let(starts, lambda at: F.flatten(F.transform(parts, lambda part, k: block(F.element_at(at, k + 1), part))))
+
+    return F.when(text.rlike(pattern), let(pairs, blocks)).otherwise(none)
 
 
 def entropy(word: Column, window: int) -> Column:
-    """Highest Shannon entropy (bits a character) over all windows of a string, by incremental counts."""
-    code = lambda i: F.instr(F.lit(ALPHABET), F.substring(word, i, F.lit(1)))
-    term = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
-    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("n"), F.lit(0.0).alias("s"), F.lit(1e9).alias("least"))
-
-    def step(acc: Column, i: Column) -> Column:
-        into, out = code(i), F.when(i > window, code(i - window)).otherwise(F.lit(-1))
-        a = F.element_at(acc["n"], into + 1).cast("double")
-        b = F.when(out >= 0, F.element_at(acc["n"], F.greatest(out, F.lit(0)) + 1)).otherwise(F.lit(0)).cast("double")
+    """Highest Shannon entropy (bits a character) over all windows of a string, by incremental counts; windows of 31 at most."""
+    terms = F.array(*[F.lit(c * log2(c) if c else 0.0) for c in range(window + 2)])
+    term = lambda c: F.element_at(terms, (c + 1).cast("int"))
+    one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), (k % 12 * 5).cast("int"))
+    count = lambda n, k: F.call_function("shiftright", F.element_at(n, (k / 12).cast("int") + 1), (k % 12 * 5).cast("int")).bitwiseAND(F.lit(31))
+    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), 6).alias("n"), F.lit(0.0).alias("s"), F.lit(1e9).alias("least"))
+
+    def moved(acc: Column, into: Column, out: Column, i: Column) -> Column:
+        a, b = count(acc["n"], into), F.when(out >= 0, count(acc["n"], F.greatest(out, F.lit(0)))).otherwise(F.lit(0).cast("long"))
         # the same character in and out changes nothing
         s = F.when(into == out, acc["s"]).otherwise(
-            acc["s"] - term(a) + term(a + 1) - F.when(out >= 0, term(b) - term(b - 1)).otherwise(F.lit(0.0))
-        )
-        n = F.when(into == out, acc["n"]).otherwise(
-            F.transform(acc["n"], lambda c, k: c + F.when(k == into, 1).otherwise(0) - F.when(k == out, 1).otherwise(0))
+            acc["s"] - term(a) + term(a + 1) - F.when(out >= 0, term(b) - term(F.greatest(b - 1, F.lit(0)))).otherwise(F.lit(0.0))
         )
+        change = lambda k, at, sign: F.when((at >= 0) & (k == (at / 12).cast("int")), sign * one(F.greatest(at, F.lit(0)))).otherwise(F.lit(0).cast("long"))
+        n = F.when(into == out, acc["n"]).otherwise(F.transform(acc["n"], lambda v, k: v + change(k, into, 1) - change(k, out, 1)))
         return F.struct(n.alias("n"), s.alias("s"), F.when(i >= window, F.least(acc["least"], s)).otherwise(acc["least"]).alias("least"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), zero, step, lambda acc: F.log2(F.lit(float(window))) - acc["least"] / window)
+    def over(codes: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            return moved(acc, F.element_at(codes, i), F.when(i > window, F.element_at(codes, F.greatest(i - window, F.lit(1)))).otherwise(F.lit(-1)), i)
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(codes)), zero, step, lambda acc: F.lit(log2(window)) - acc["least"] / window)
+
+    return let(F.transform(F.split(word, "", -1), lambda c: F.instr(F.lit(ALPHABET), c) - 1), over)
 
 
 def secret(hit: Column, window: int, bits: float) -> Column:
