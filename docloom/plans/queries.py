@@ -537,6 +537,104 @@ def collection_sizes(spark, sf):
     return registry.directory_size(d).join(d.groupBy("collection_id").agg(F.count("*").alias("n_docs")), "collection_id").select("collection_id", "n_docs", "bytes")
 
 
+@query(f"""with {KNN_SQL} select q_id, row_pos::varchar as chunk_id, d.source as doc_id, rank::bigint as rank, length(d.text)::bigint as n, [d.lang] as section_path, case when d.doc_id % 3 = 0 then 'from index' else 'from chunk' end as section_context,
+ case when d.doc_id % 2 = 0 then 'table' else 'semantic_text' end as chunk_type, case when d.doc_id % 4 = 0 then 7 else d.doc_id + 1 end::bigint as token_count from k join documents d on d.doc_id = row_pos""")
+def hydrate_hits(spark, sf):
+    """Hits joined with the index's and the chunks' fields; a chunk's own value wins where it is not empty."""
+    d = t(spark, sf, "documents")
+    text_id = F.col("doc_id").cast("string")
+    none = lambda kind: F.lit(None).cast(kind)
+    index = d.select(F.col("doc_id").alias("row_pos"), text_id.alias("chunk_id"), F.col("source").alias("doc_id"), F.col("doc_id").cast("int").alias("page_num"), F.lit(0).alias("start_char"), F.length("text").alias("end_char"), F.array("lang").alias("section_path"), F.lit("from index").alias("section_context"), F.lit("semantic_text").alias("chunk_type"), F.lit(7).alias("token_count"), F.lit(True).alias("index_this"))
+    chunks = d.select(text_id.alias("chunk_id"), "text", F.col("text").alias("text_original"), F.lit("").alias("text_clean"), none("array<string>").alias("section_path"), F.when(F.col("doc_id") % 3 > 0, "from chunk").otherwise("").alias("section_context"), F.when(F.col("doc_id") % 2 == 0, "table").alias("chunk_type"), F.when(F.col("doc_id") % 4 > 0, F.col("doc_id") + 1).otherwise(0).cast("int").alias("token_count"), none("boolean").alias("index_this"))
+    out = retrieval.hydrate(_knn(spark, sf), index, chunks)
+    return out.select("q_id", "chunk_id", "doc_id", long_(F.col("rank")).alias("rank"), long_(F.length("text")).alias("n"), "section_path", "section_context", "chunk_type", long_(F.col("token_count")).alias("token_count"))
+
+
+def _gold_log(spark, sf):
+    gold = t(spark, sf, "benchmark").select("item_id", F.concat(F.lit("q"), (F.col("item_id") % 150).cast("string")).alias("query"))
+    d = t(spark, sf, "documents")
+    names = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.struct(i.alias("source_idx"), F.concat(F.lit("s"), ((F.col("doc_id") + i) % 4).cast("string")).alias("source_name"), F.concat(F.lit("c"), ((F.col("doc_id") * i) % 5).cast("string")).alias("chunk_id")))
+    log = d.select(F.concat(F.lit(" q"), (F.col("doc_id") % 120).cast("string"), F.lit(" ")).alias("query"), F.col("doc_id").alias("seq"), names.alias("sources"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("2"), F.lit("1"), F.lit("2"), F.lit("9"))).alias("citations"), F.when(F.col("doc_id") % 3 == 0, "").otherwise("text").alias("answer_text"), F.lit("old").alias("answer"))
+    return gold, log
+
+
+GOLD_LOG = """l as (select 'q' || (doc_id % 120) as query, max(doc_id) as seq from documents group by 1), g as (select item_id, 'q' || (item_id % 150) as query from benchmark)"""
+
+
+@query(f"with {GOLD_LOG} select item_id, seq as log_seq from g left join l using (query)")
+def gold_log_pairs(spark, sf):
+    """A2: every gold row with the last log row of its question, or with none."""
+    hit, miss = evaluation.pairs(*_gold_log(spark, sf))
+    return hit.select("item_id", "log_seq").unionByName(miss.select("item_id", F.lit(None).cast("long").alias("log_seq")))
+
+
+@query(f"""with {GOLD_LOG}, m as (select item_id, seq from g join l using (query)), x as (select *, [1, 2, 3] as n, list_transform([1, 2, 3], lambda i: 's' || ((seq + i) % 4)) as sn, list_transform([1, 2, 3], lambda i: 'c' || ((seq * i) % 5)) as sc from m)
+select item_id, case when seq % 3 = 0 then 'old' else 'text' end as answer, array_to_string(sn, ',') as context_names, array_to_string(sc, ',') as context_ids, case when seq % 2 = 0 then '2,1,9' else '' end as cited,
+ case when seq % 2 = 0 then sn[2] || case when sn[1] <> sn[2] then ',' || sn[1] else '' end else '' end as cited_names, case when seq % 2 = 0 then sc[2] || case when sc[1] <> sc[2] then ',' || sc[1] else '' end else '' end as cited_ids from x""")
+def log_accessors(spark, sf):
+    """Answers, contexts and citations of log rows in either spelling; numbers that no source has drop out."""
+    out = evaluation.accessors(evaluation.pairs(*_gold_log(spark, sf))[0])
+    lists = ("context_names", "context_ids", "cited", "cited_names", "cited_ids")
+    return out.select("item_id", "answer", *[F.array_join(c, ",").alias(c) for c in lists])
+
+
+@query("""with g as (select doc_id, list_distinct([doc_id % 7, doc_id % 5, 99]) as ids from documents) select doc_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(ids, lambda x: x < 6), lambda x: 'f' || (x % 4)))), ',') as names from g""")
+def gold_source_names(spark, sf):
+    """The source map: ids of gold sources as file names, unknown ids left out."""
+    d = t(spark, sf, "documents").select("doc_id", F.array_distinct(F.array(F.col("doc_id") % 7, F.col("doc_id") % 5, F.lit(99).cast("long"))).alias("source_ids"))
+    names = spark.range(6).select(F.col("id").alias("source_id"), F.concat(F.lit("f"), (F.col("id") % 4).cast("string")).alias("file_name"))
+    return evaluation.with_gold_names(d, names).select("doc_id", F.array_join("gold_names", ",").alias("names"))
+
+
+@query("""with old as (select event_type as id, 'T' || (event_id % 2) as kind, max(event_id) as m from events group by 1, 2), new as (select event_type as id, 'T' || (event_id % 3) as kind, max(event_id) as m from events where event_id % 5 > 0 group by 1, 2)
+select coalesce(n.kind, o.kind) as node_type, coalesce(n.id, o.id) as node_id, case when n.id is null then 'a' else 'b' end as collection_id, coalesce(n.m, o.m)::varchar as last, case when o.id is not null then 'kept' end as old_only from old o full join new n on o.id = n.id and o.kind = n.kind""")
+def upsert_nodes(spark, sf):
+    """New properties over those of nodes that are there, the others kept, new nodes added."""
+    e = t(spark, sf, "events")
+
+    def nodes(rows, k, collection, *more):
+        last = rows.groupBy(F.concat(F.lit("T"), (F.col("event_id") % k).cast("string")).alias("node_type"), F.col("event_type").alias("node_id")).agg(F.max("event_id").cast("string").alias("m"))
+        return last.select(F.lit(collection).alias("collection_id"), "node_type", "node_id", F.create_map(F.lit("last"), F.col("m"), *more).alias("properties"))
+
+    out = graph.upsert_nodes(nodes(e, 2, "a", F.lit("old"), F.lit("kept")), nodes(e.where("event_id % 5 > 0"), 3, "b"))
+    return out.select("node_type", "node_id", "collection_id", F.element_at("properties", F.lit("last")).alias("last"), F.element_at("properties", F.lit("old")).alias("old_only"))
+
+
+@query("""with n as (select distinct 'u' || user_id as id from events where user_id % 3 > 0), old as (select distinct 'BUYS' as edge_type, 'u' || user_id as from_id, 'u' || (user_id + 1) as to_id from events where user_id % 2 = 0),
+new as (select distinct 'BUYS' as edge_type, 'u' || user_id as from_id, 'u' || (user_id + 1) as to_id from events where 'u' || user_id in (select id from n) and 'u' || (user_id + 1) in (select id from n))
+select edge_type, from_id, to_id, 'new' as version from new union all select edge_type, from_id, to_id, 'old' from old anti join new using (edge_type, from_id, to_id)""")
+def upsert_edges(spark, sf):
+    """Edges with both ends there replace equal ones; others are not taken."""
+    e = t(spark, sf, "events").select("user_id")
+    name = lambda c: F.concat(F.lit("u"), c.cast("string"))
+    edges = e.select(F.lit("BUYS").alias("edge_type"), name(F.col("user_id")).alias("from_id"), name(F.col("user_id") + 1).alias("to_id"), "user_id").distinct()
+    old = edges.where("user_id % 2 = 0").drop("user_id").withColumn("version", F.lit("old"))
+    nodes = e.where("user_id % 3 > 0").select(name(F.col("user_id")).alias("node_id")).distinct()
+    return graph.upsert_edges(old, edges.drop("user_id").withColumn("version", F.lit("new")), nodes)
+
+
+@query(f"""with m as ({MENTIONS}), ids as (select distinct entity_text as a, lag(entity_text) over (order by entity_text) as b from (select distinct entity_text from m))
+select distinct collection_id, doc_id, chunk_id as source_chunk_id, sha256(a) as source_entity_id, sha256(b) as target_entity_id, 'BEFORE' as relation_type from m join ids on a = entity_text where b is not null""")
+def entity_relations(spark, sf):
+    """Relations between entities, placed in every chunk that mentions their source."""
+    chunks, nodes, edges, _, _ = _graph(spark, sf)
+    found = graph.mentions(nodes, edges, chunks)
+    names = found.select("entity_id", "entity_text").distinct()
+    after = F.lag("entity_id").over(Window.orderBy("entity_text"))  # the test's relation, over distinct words
+    linked = names.withColumn("b", after).where("b is not null").select(F.lit(None).cast("string").alias("collection_id"), F.lit("BEFORE").alias("edge_type"), F.col("entity_id").alias("from_id"), F.col("b").alias("to_id"))
+    return graph.relations(edges.where("edge_type = 'FROM_CHUNK'").unionByName(linked), found)
+
+
+@query("""with v as (select event_type as n, round(avg(value), 4) as x from events where event_id % 2 = 0 group by 1), m as (select unnest(['recall@10', 'unsupported_claim_rate']) as name, unnest(['click', 'view']) as n), f as (select name, coalesce(x, 0) / 1000 as vector from m left join v using (n))
+select name, round(vector * 100, 1) as vector_pct, round((vector + 0.01) * 100, 1) as hybrid_pct, round((round((vector + 0.01) * 100, 1) - round(vector * 100, 1)) * case when name = 'unsupported_claim_rate' then -1 else 1 end, 1) as gain_pp from f""")
+def dashboard_metrics(spark, sf):
+    """Two of the dashboard's metrics in percent, with the gain turned round for the rate of unsupported claims."""
+    means = t(spark, sf, "events").where("event_id % 2 = 0").groupBy(F.col("event_type").alias("n")).agg(F.round(F.avg("value"), 4).alias("x"))
+    two = spark.createDataFrame([("recall@10", "click"), ("unsupported_claim_rate", "view")], "name string, n string")
+    rows = two.join(means, "n", "left").select("name", (F.coalesce("x", F.lit(0.0)) / 1000).alias("vector")).withColumn("hybrid", F.col("vector") + 0.01)
+    return evaluation.dashboard_series(rows, spark).join(two.select("name"), "name", "left_semi").select("name", "vector_pct", "hybrid_pct", "gain_pp")
+
+
 def pages(spark, sf):
     d = t(spark, sf, "documents")
     number = F.row_number().over(Window.partitionBy(document()).orderBy("doc_id"))
