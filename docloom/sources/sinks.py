@@ -8,9 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _paths(spark: SparkSession, path: str):
+    """The path, a draft beside it, and their file system."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    return target, part, target.getFileSystem(conf)
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """JSON lines; the output committer makes the write all or nothing."""
-    df.write.mode(mode).json(path)
+    """JSON lines. An overwrite is written beside the target first, so a failed job leaves the old rows."""
+    if mode != "overwrite":
+        df.write.mode(mode).json(path)
+        return
+    target, part, fs = _paths(df.sparkSession, path)
+    df.write.json(part.toString())
+    if fs.exists(target):
+        fs.delete(target, True)
+    fs.rename(part, target)
 
 
 def append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -18,17 +32,16 @@ def append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def write_json(spark: SparkSession, path: str, text: str) -> None:
-    """A small driver-side document: written beside the target, then renamed over it."""
+    """A small driver-side document: written beside the target, then renamed over it in one step."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
-    fs = target.getFileSystem(conf)
+    target, part, fs = _paths(spark, path)
     out = fs.create(part, True)
     out.write(bytearray(text.encode("utf-8")))
     out.hsync()
     out.close()
-    if fs.exists(target):
-        fs.delete(target, True)
-    fs.rename(part, target)
+    how = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    how[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(part), fs.makeQualified(target), how)
 
 
 def replace_table(df: DataFrame, base: str) -> str:

@@ -243,3 +243,27 @@ def test_answer_end_to_end(spark):
     q = spark.createDataFrame([(1, "where are Quantum Widgets sold")], "q_id int, question string")
     r = service.answer(q, c, config.Settings(retrieval=config.Retrieval(rerank=True))).first()
     assert r.sources[0].source_name == "two.pdf" and r.citations == ["1"] and "QUESTION:\nwhere" in r.prompt
+
+
+def test_ingest_reuses_cached_vectors_and_failed_overwrites_keep_old_rows(spark, tmp_path):
+    class Counting(E.HashingEmbedder):
+        def embed_texts(self, texts):
+            raise ValueError("a cached text was embedded")
+
+    text = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega. " * 3
+    pages = spark.createDataFrame([("d", "d.pdf", 1, text), ("e", "e.pdf", 1, text + "More of it.")], "doc_id string, file_name string, page_num int, text_original string")
+    first = service.ingest(pages, "c")
+    made = spark.createDataFrame(first.made.collect(), first.made.schema)
+    again = service.ingest(pages, "c", make_embedder=Counting, store=made)
+    rows = lambda c: sorted((r.chunk_id, tuple(r.vector)) for r in c.index.collect())
+    assert made.count() > 0 and rows(again) == rows(first) and again.made.count() == 0
+    first.release()
+    again.release()
+    path = f"file://{tmp_path}/rows"
+    sinks.write_jsonl(spark.range(3), path)
+    with pytest.raises(Exception):
+        sinks.write_jsonl(spark.range(3).select(F.raise_error(F.lit("x")).alias("id")), path)
+    assert spark.read.json(path).count() == 3
+    for k in (1, 2):
+        sinks.write_json(spark, f"{tmp_path}/one.json", str(k))
+    assert (tmp_path / "one.json").read_text() == "2"
