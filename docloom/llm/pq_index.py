@@ -15,9 +15,11 @@ size, all of which are worked through. A cell returns sums of links and a spanni
 pairs. Where lists are wide against the threshold (vectors without near ones, in many dimensions), nearly
 all lists are probed, and the work grows with the square of the rows.
 
+Vectors of different lengths are not compared. Each length with more than MEMBERS distinct vectors has an
+index of its own; those of a rarer length are few enough for one task, which fits and searches an index for them.
+
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with
-nothing, nor do vectors of another length than the most common one (ties: the smaller). Equal
-vectors are linked. Repeated ids are taken as separate rows with one node. An empty table gives an
+nothing. Equal vectors are linked. Repeated ids are taken as separate rows with one node. An empty table gives an
 empty result; extra columns are ignored.
 """
 
@@ -61,6 +63,12 @@ def nearest(x: np.ndarray, centre: np.ndarray, p: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(best, order, 1), np.take_along_axis(got, order, 1)
 
 
+def vectors_of(column: pd.Series, kind: np.dtype) -> np.ndarray:
+    """Unit vectors in double precision of raw ones packed as bytes."""
+    x = np.frombuffer(b"".join(column), kind).reshape(len(column), -1).astype(np.float64)
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
 @dataclass
 class Quantiser:
     coarse: np.ndarray  # (lists, dim)
@@ -106,11 +114,6 @@ def fit(x: np.ndarray, total: int, probes: int, subspaces: int = 8, seed: int =
     return Quantiser(coarse, books, cuts, min(probes, len(coarse)))
 
 
-def unit(column: pd.Series) -> np.ndarray:
-    x = np.stack([np.asarray(v, np.float64) for v in column])
-    return x / np.sqrt((x * x).sum(1))[:, None]
-
-
 def join(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """`label` (the least node of each node's component) after the links (p, q)."""
     while True:
@@ -124,46 +127,77 @@ def join(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.9, probes: int = 32, sample: int = 12_000) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row of `vectors` (vec_id, embedding)."""
-    spark = vectors.sparkSession
-    disk = Scratch(spark, "pq")
-    reach = float(np.sqrt(2 - 2 * cosine)) + 1e-6
-    raw = pick(vectors, "vec_id", "embedding")
-    x = F.col("embedding")
-    finite = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
-    # a norm that underflows to zero or overflows in double precision has no cosine
-    norm = F.aggregate(F.coalesce(x, F.array().cast("array<float>")), F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
-    fine = finite & (F.size(x) > 0) & (norm > 0) & (norm < float("inf"))
-    rows = raw.withColumn("fine", F.coalesce(fine, F.lit(False))).withColumn("k1", F.xxhash64("embedding")).withColumn("k2", F.xxhash64(F.lit(7), F.reverse("embedding")))
-    dims = [(r[0], r[1]) for r in rows.where("fine").groupBy(F.size("embedding").alias("d")).count().collect()]
-    alone = raw.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not dims:
-        return alone
-    dim = min(dims, key=lambda r: (-r[1], r[0]))[0]
-    rows = rows.withColumn("fine", F.col("fine") & (F.size("embedding") == dim))
-    classes = rows.where("fine").groupBy("k1", "k2").agg(F.min("vec_id").alias("a"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
-    classes = disk.save(classes, "classes")
-    total = classes.count()
-
-    share = min(1.0, sample / total)
-    taken = classes.where(F.pmod("k1", F.lit(1_000_000)) < max(share * 1_000_000, 1)).orderBy("k1", "k2").limit(2 * sample).select("embedding").toPandas()
+def coded(v: np.ndarray, quantiser: Quantiser) -> dict:
+    """Home list, distance to its centre, code, and the code's error of unit vectors."""
+    home = nearest(v, quantiser.coarse, 1)[0][:, 0]
+    rest = v - quantiser.coarse[home]
+    code, miss = quantiser.encode(rest)
+    return {"home": home.astype(np.int32), "far": np.sqrt((rest * rest).sum(1)), "code": [c.tobytes() for c in code], "miss": miss}
+
+
+def search(there: pd.DataFrame, here: pd.DataFrame, kind: np.dtype, quantiser: Quantiser, radius: np.ndarray, reach: float, cosine: float) -> pd.DataFrame:
+    """Links between the members `there` and the askers `here` as (a, links, to): sums, and a spanning forest with 0 links."""
+    # sorted by list, so that a block of askers needs few lists where the vectors have groups
+    there, here = there.sort_values(["home", "a"]), here.sort_values(["home", "a"])
+    if not len(there) or not len(here):
+        return pd.DataFrame({"a": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "to": pd.Series(dtype="int64")})
+    x, q = vectors_of(there["v"], kind), vectors_of(here["v"], kind)
+    code = np.frombuffer(b"".join(there["code"]), np.uint8).reshape(len(there), -1)
+    xa, qa, xh, qh = there["a"].to_numpy(), here["a"].to_numpy(), there["home"].to_numpy(), here["home"].to_numpy()
+    xn, qn = there["n"].to_numpy(float), here["n"].to_numpy(float)
+    lists, at = np.unique(xh, return_inverse=True)
+    # |query - (centre + code)|^2 = |query - centre|^2 + rest - 2 * product of the query with the code
+    part = quantiser.decode(code)
+    rest = (part * part).sum(1) + 2 * (quantiser.coarse[xh] * part).sum(1)
+    limit = (there["miss"].to_numpy(float) + reach) ** 2 + 1e-6
+    nodes, spots = np.unique(np.concatenate([qa, xa]), return_inverse=True)
+    qs, xs, label, links = spots[: len(qa)], spots[len(qa) :], np.arange(len(nodes)), np.zeros(len(nodes))
+    for lo in range(0, len(q), BLOCK):
+        s = slice(lo, lo + BLOCK)
+        need, d = quantiser.needed(q[s], qh[s], lists, radius, reach)
+        need &= lists[None] >= qh[s][:, None]
+        c = np.flatnonzero(need.any(0)[at])
+        if not len(c):
+            continue
+        near = d.T[at[c]] + rest[c][:, None] - 2 * quantiser.products(q[s], code[c]) <= limit[c][:, None]
+        near &= need.T[at[c]] & ((xh[c][:, None] > qh[s][None]) | (xa[c][:, None] > qa[s][None]))
+        row = np.flatnonzero(near.any(1))
+        near, c = near[row], c[row]
+        dot = x[c] @ q[s].T
+        j, i = np.nonzero(near & (dot >= cosine - 1e-9))
+        # products so close to the threshold that the order of the sum counts are taken pair by pair
+        tight = np.flatnonzero(dot[j, i] < cosine + 1e-9)
+        good = np.ones(len(j), bool)
+        good[tight] = np.einsum("ij,ij->i", q[lo + i[tight]], x[c[j[tight]]]) >= cosine
+        i, j = lo + i[good], c[j[good]]
+        links += np.bincount(qs[i], xn[j], len(nodes)) + np.bincount(xs[j], qn[i], len(nodes))
+        label = join(label, qs[i], xs[j])
+    some = links > 0
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    sums = pd.DataFrame({"a": nodes[some], "links": links[some].astype(np.int64), "to": nodes[some]})
+    return pd.concat([sums, pd.DataFrame({"a": nodes[moved], "links": 0, "to": nodes[label[moved]]})])
+
+
+FOUND = "a bigint, links bigint, to bigint"
+
+
+def _indexed(classes: DataFrame, total: int, kind: np.dtype, cosine: float, reach: float, probes: int, sample: int, disk: Scratch) -> DataFrame:
+    """Links between all classes (k1, k2, a, n, v) of one length."""
+    spark = classes.sparkSession
+    # about `sample` of them, at random by their hash, and 2 * sample at the most
+    taken = classes.where(F.pmod("k1", F.lit(1_000_000)) < max(min(1.0, sample / total) * 1_000_000, 1)).orderBy("k1", "k2").limit(2 * sample).select("v").toPandas()
     if not len(taken):
-        taken = classes.orderBy("k1", "k2").limit(sample).select("embedding").toPandas()
-    quantiser = fit(unit(taken["embedding"]), total, probes)
+        taken = classes.orderBy("k1", "k2").limit(sample).select("v").toPandas()
+    quantiser = fit(vectors_of(taken["v"], kind), total, probes)
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for lo in range(0, len(frame), 1024):
                 part = frame.iloc[lo : lo + 1024]
-                v = unit(part["embedding"])
-                home = nearest(v, quantiser.coarse, 1)[0][:, 0]
-                rest = v - quantiser.coarse[home]
-                code, miss = quantiser.encode(rest)
-                yield pd.DataFrame({"a": part["a"], "n": part["n"], "home": home, "far": np.sqrt((rest * rest).sum(1)), "code": [c.tobytes() for c in code], "miss": miss, "v": [r.tobytes() for r in v]})
+                yield part.assign(**coded(vectors_of(part["v"], kind), quantiser))
 
-    kinds = "a bigint, n bigint, home int, far double, code binary, miss double, v binary"
-    indexed = disk.save(classes.mapInPandas(index, kinds), "index")
+    indexed = classes.select("a", "n", "v").mapInPandas(index, "a bigint, n bigint, v binary, home int, far double, code binary, miss double")
+    indexed = disk.save(indexed, "index")
 
     # lists of consecutive numbers form groups of about MEMBERS vectors
     radius, held, group = np.full(len(quantiser.coarse), -np.inf), [0], np.zeros(len(quantiser.coarse), int)
@@ -173,13 +207,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, probes: int = 32, s
         radius[home], group[home] = far, len(held) - 1
         held[-1] += n
     filled = np.flatnonzero(np.isfinite(radius))
-    block = lambda f: np.frombuffer(b"".join(f["v"]), np.float64).reshape(len(f), -1)
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for lo in range(0, len(frame), 1024):
                 part = frame.iloc[lo : lo + 1024]
-                v, home = block(part), part["home"].to_numpy()
+                v, home = vectors_of(part["v"], kind), part["home"].to_numpy()
                 probe = quantiser.needed(v, home, filled, radius, reach)[0]
                 np.put_along_axis(probe, nearest(v, quantiser.coarse[filled], quantiser.probes)[0], True, 1)  # as the least
                 probe &= filled[None] >= home[:, None]
@@ -201,53 +234,53 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, probes: int = 32, s
         F.lit(1).alias("role"), "group", F.explode(F.sequence(F.lit(0), F.col("ms") - 1)).alias("m"), F.pmod(spot, F.col("qs")).cast("int").alias("q"), "a", "n", "home",
         F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("miss"), "v")
 
-    def search(frame: pd.DataFrame) -> pd.DataFrame:
-        # sorted by list, so that a block of askers needs few lists where the vectors have groups
-        there, here = (frame[frame["role"] == r].sort_values(["home", "a"]) for r in (0, 1))
-        if not len(there) or not len(here):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "to": pd.Series(dtype="int64")})
-        x, q = block(there), block(here)
-        code = np.frombuffer(b"".join(there["code"]), np.uint8).reshape(len(there), -1)
-        xa, qa, xh, qh = there["a"].to_numpy(), here["a"].to_numpy(), there["home"].to_numpy(), here["home"].to_numpy()
-        xn, qn = there["n"].to_numpy(float), here["n"].to_numpy(float)
-        lists, at = np.unique(xh, return_inverse=True)
-        # |query - (centre + code)|^2 = |query - centre|^2 + rest - 2 * product of the query with the code
-        part = quantiser.decode(code)
-        rest = (part * part).sum(1) + 2 * (quantiser.coarse[xh] * part).sum(1)
-        limit = (there["miss"].to_numpy(float) + reach) ** 2 + 1e-6
-        nodes, spots = np.unique(np.concatenate([qa, xa]), return_inverse=True)
-        qs, xs, label, links = spots[: len(qa)], spots[len(qa) :], np.arange(len(nodes)), np.zeros(len(nodes))
-        for lo in range(0, len(q), BLOCK):
-            s = slice(lo, lo + BLOCK)
-            need, d = quantiser.needed(q[s], qh[s], lists, radius, reach)
-            need &= lists[None] >= qh[s][:, None]
-            c = np.flatnonzero(need.any(0)[at])
-            if not len(c):
-                continue
-            near = d.T[at[c]] + rest[c][:, None] - 2 * quantiser.products(q[s], code[c]) <= limit[c][:, None]
-            near &= need.T[at[c]] & ((xh[c][:, None] > qh[s][None]) | (xa[c][:, None] > qa[s][None]))
-            row = np.flatnonzero(near.any(1))
-            near, c = near[row], c[row]
-            dot = x[c] @ q[s].T
-            j, i = np.nonzero(near & (dot >= cosine - 1e-9))
-            # products so close to the threshold that the order of the sum counts are taken pair by pair
-            tight = np.flatnonzero(dot[j, i] < cosine + 1e-9)
-            good = np.ones(len(j), bool)
-            good[tight] = np.einsum("ij,ij->i", q[lo + i[tight]], x[c[j[tight]]]) >= cosine
-            i, j = lo + i[good], c[j[good]]
-            links += np.bincount(qs[i], xn[j], len(nodes)) + np.bincount(xs[j], qn[i], len(nodes))
-            label = join(label, qs[i], xs[j])
-        some = links > 0
-        moved = np.flatnonzero(label != np.arange(len(nodes)))
-        sums = pd.DataFrame({"a": nodes[some], "links": links[some].astype(np.int64), "to": nodes[some]})
-        return pd.concat([sums, pd.DataFrame({"a": nodes[moved], "links": 0, "to": nodes[label[moved]]})])
-
-    found = member.unionByName(asker).groupBy("group", "m", "q").applyInPandas(search, "a bigint, links bigint, to bigint")
-    found = disk.save(found, "found")
+    def cell(frame: pd.DataFrame) -> pd.DataFrame:
+        return search(frame[frame["role"] == 0], frame[frame["role"] == 1], kind, quantiser, radius, reach, cosine)
+
+    found = disk.save(member.unionByName(asker).groupBy("group", "m", "q").applyInPandas(cell, FOUND), "found")
+    disk.drop(indexed)
+    return found
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = 0.9, probes: int = 32, sample: int = 12_000) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for every row of `vectors` (vec_id, embedding)."""
+    disk = Scratch(vectors.sparkSession, "pq")
+    reach = float(np.sqrt(2 - 2 * cosine)) + 1e-6
+    raw = pick(vectors, "vec_id", "embedding")
+    kind = np.dtype(np.float32 if raw.schema["embedding"].dataType.elementType.simpleString() == "float" else np.float64)
+    x = F.col("embedding")
+    finite = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
+    # a norm that underflows to zero or overflows in double precision has no cosine
+    norm = F.aggregate(F.coalesce(x, F.array().cast("array<float>")), F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
+    fine = finite & (F.size(x) > 0) & (norm > 0) & (norm < float("inf"))
+    rows = raw.withColumn("fine", F.coalesce(fine, F.lit(False))).withColumn("k1", F.xxhash64("embedding")).withColumn("k2", F.xxhash64(F.lit(7), F.reverse("embedding")))
+    classes = rows.where("fine").groupBy("k1", "k2").agg(F.min("vec_id").alias("a"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
+
+    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.drop(columns="embedding").assign(v=[np.asarray(v, kind).tobytes() for v in frame["embedding"]])
+
+    classes = classes.withColumn("dim", F.size("embedding")).mapInPandas(packed, "k1 bigint, k2 bigint, a bigint, n bigint, dim int, v binary")
+    classes = disk.save(classes, "classes")
+    # each has more than MEMBERS vectors, so there are few
+    large = {r[0]: r[1] for r in classes.groupBy("dim").count().where(F.col("count") > MEMBERS).collect()}
+
+    def rare(frame: pd.DataFrame) -> pd.DataFrame:
+        v = vectors_of(frame["v"], kind)
+        quantiser = fit(v, len(v), probes)
+        both = frame.assign(**coded(v, quantiser))
+        radius = both.groupby("home")["far"].max().reindex(range(len(quantiser.coarse)), fill_value=-np.inf).to_numpy()
+        return search(both, both, kind, quantiser, radius, reach, cosine)
+
+    found = classes.where(~F.col("dim").isin(list(large))).select("dim", "a", "n", "v").groupBy("dim").applyInPandas(rare, FOUND)
+    found = disk.save(found, "rare")
+    for dim, total in sorted(large.items()):
+        found = found.union(_indexed(classes.where(F.col("dim") == dim), total, kind, cosine, reach, probes, sample, disk))
     comp = connected_components(found.where("links = 0").select("a", F.col("to").alias("b")), disk)
     sums = found.groupBy("a").agg(F.sum("links").alias("links"))
     named = classes.select("k1", "k2", "a", "n").join(sums, "a", "left").join(comp.withColumnRenamed("node", "a"), "a", "left")
     named = disk.save(named.select("k1", "k2", F.lit(True).alias("fine"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "a").alias("component")), "named")
+    disk.drop(classes)
     out = rows.select("vec_id", "k1", "k2", "fine").join(named, ["k1", "k2", "fine"], "left")
     out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
