@@ -232,7 +232,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
             h, ids, out = words.hash, part["doc_id"].astype("Int64").array, []
             with np.errstate(over="ignore"):
                 for begin, own, c, keys in hits(classes, bitmap, filled, h, words.text, words.at):
-                    lo, hi = np.maximum(words.at[own], begin - c.hi), np.minimum(words.at[own + 1], begin + 2 * c.hi)
+                    # windows that begin close together share a stretch, which holds all that they can match
+                    grid = begin - (begin - words.at[own]) % (c.far + 1)
+                    lo, hi = np.maximum(words.at[own], grid - c.far), np.minimum(words.at[own + 1], grid + c.hi + 3 * c.far + 1)
                     stretch = [h[a:b].tobytes() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
                     out.append(pd.DataFrame({"doc_id": ids[own], "key": keys.view(np.int64), "stretch": stretch}))
             if out:
@@ -254,9 +256,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
                     grid = np.zeros((len(texts), max(map(len, texts))), U)
                     for row, t in zip(grid, texts, strict=True):
                         row[: len(t)] = t
-                    d = distances_in(item, grid)
-                    good = d <= far
-                    yield part.loc[good, ["doc_id", "item_id", "n_words"]].assign(distance=d[good].astype(np.int64))
+                    # a match keeps n - far words of the item
+                    known = np.unique(item)
+                    shared = known[np.minimum(np.searchsorted(known, grid), len(known) - 1)] == grid
+                    some = np.flatnonzero(shared.sum(1) >= len(item) - far)
+                    d = distances_in(item, grid[some])
+                    good = some[d <= far]
+                    yield part.iloc[good][["doc_id", "item_id", "n_words"]].assign(distance=d[d <= far].astype(np.int64))
 
     kinds = "doc_id bigint, item_id bigint, n_words bigint, distance bigint"
     return met.select("doc_id", "item_id", "n_words", "far", "words", "stretch").mapInPandas(verify, kinds).groupBy("doc_id", "item_id").agg(
