@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 import string
+import time
+from datetime import timedelta
 
 import numpy as np
 import pandas as pd
@@ -107,10 +109,10 @@ def test_pq_links(spark):
     rows = [v.tolist() for v in np.concatenate([x, near])] + [x[1].tolist()] * 3 + [(2 * x[1]).tolist(), [0.0] * 16, [float("nan")] * 16, None, [], [1.0] * 3, [None] * 16]
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in enumerate(rows)], "vec_id long, embedding array<float>, label int, probe string")
     v32 = [None if v is None else np.array(v, dtype=np.float32).astype(float) for v in rows]
-    fine = [v is not None and len(v) == 16 and np.isfinite(v).all() and (v != 0).any() for v in v32]
+    fine = [v is not None and len(v) in (3, 16) and np.isfinite(v).all() and (v != 0).any() for v in v32]
 
     def linked(i, j):
-        return fine[i] and fine[j] and v32[i] @ v32[j] / np.linalg.norm(v32[i]) / np.linalg.norm(v32[j]) >= 0.9
+        return fine[i] and fine[j] and len(v32[i]) == len(v32[j]) and v32[i] @ v32[j] / np.linalg.norm(v32[i]) / np.linalg.norm(v32[j]) >= 0.9
 
     want = components(len(rows), linked)
     links = [sum(linked(i, j) for j in range(len(rows)) if j != i) for i in range(len(rows))]
@@ -123,6 +125,20 @@ def test_pq_links(spark):
     assert {r.n_links for r in pq_index.near_duplicates(df.where("embedding is null or size(embedding) = 0")).collect()} == {0}
 
 
+def test_pq_of_rare_lengths_and_clashing_columns(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [rng.normal(size=8) for _ in range(60)] + [np.array([1.0, 2, 3, 4]) * k for k in (1, 2, 3)] + [np.array([1.0])] * 2 + [np.array([-1.0])]
+    rows += [rows[5] + 0.1 * rng.normal(size=8) for _ in range(10)]
+    df = spark.createDataFrame([(i, v.tolist(), "c") for i, v in enumerate(rows)], "vec_id long, embedding array<double>, k1 string").withColumns({c: F.lit("c") for c in ("a", "fine", "dim", "v", "n")})
+    linked = lambda i, j: len(rows[i]) == len(rows[j]) and rows[i] @ rows[j] / np.linalg.norm(rows[i]) / np.linalg.norm(rows[j]) >= 0.9
+    links = [sum(linked(i, j) for j in range(len(rows)) if j != i) for i in range(len(rows))]
+    for members in (4096, 20):  # the second gives the 8-vectors an index of their own
+        monkeypatch.setattr(pq_index, "MEMBERS", members)
+        got = {r.vec_id: r for r in pq_index.near_duplicates(df).collect()}
+        assert [got[i].n_links for i in range(len(rows))] == links and links[60] == 2
+        assert [got[i].component_id for i in range(len(rows))] == components(len(rows), linked)
+
+
 def test_pq_loses_no_pair_of_a_dense_group(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(900, 24))
@@ -139,13 +155,13 @@ def test_language_id(spark):
     rng = random.Random(4)
     pool = {"en": "the of and that with which".split(), "de": "der die und nicht ist für".split(), "fr": "le la et que dans être".split(), "es": "el que y los está año".split()}
     rows = [(i, soup(rng, 40, pool[k]), k) for i, k in enumerate(list(pool) * 30)]
-    df = spark.createDataFrame([*rows, (900, None, "en"), (901, "123 !", "en"), (902, "", None), (0, rows[0][1], "en")], "doc_id long, text string, lang string")
+    df = spark.createDataFrame([*rows, (900, None, "en"), (901, "123 !", "en"), (902, "", None), (903, "10² ½ ①", None), (0, rows[0][1], "en")], "doc_id long, text string, lang string")
     model = language_id.train(df.where("doc_id % 3 <> 1"))
     assert sorted(model.families) == ["germanic", "romance"] and ("de", "en") in model.columns and ("es", "fr") in model.columns
     got = language_id.identify(df, model).collect()
     assert len(got) == df.count() and all(0 <= r.score <= 1 for r in got)
     by = {r.doc_id: r.lang_pred for r in got}
-    assert sum(by[i] == k for i, _, k in rows) >= 118 and by[900] == by[901] == by[902] == "und"
+    assert sum(by[i] == k for i, _, k in rows) >= 118 and by[900] == by[901] == by[902] == by[903] == "und"
     assert language_id.identify(df.limit(0), model).count() == 0
     none = language_id.train(df.limit(0))
     assert {r.lang_pred for r in language_id.identify(df, none).collect()} == {"und"}
@@ -198,6 +214,9 @@ def test_line_runs_by_brute_force(spark):
     assert line_runs.dedup(empty(spark)).count() == 0
     twice = docs(spark, ["z" * 300]).union(docs(spark, ["z" * 300]))
     assert [r.n_removed for r in line_runs.dedup(twice).collect()] == [0, 0]
+    clash = docs(spark, ["a\n" * 30, "a\n" * 30]).withColumns({"doc_id": F.expr("nullif(doc_id, 0)"), "n_lines": F.lit("x"), "emptied": F.lit("y"), "row": F.lit("z")})
+    got = {r.doc_id: r for r in line_runs.dedup(clash, min_chars=least).collect()}
+    assert (got[None].n_lines, got[None].emptied, got[None].row, got[1].text, got[1].emptied) == (31, False, "z", "", True) and got[None].n_removed < 31
 
 
 def test_cgk_lsh_finds_edited_items(spark):
@@ -274,6 +293,17 @@ def test_secrets_base_and_entropy(spark):
     assert secrets.report(empty(spark)).count() == 0
 
 
+def test_secrets_of_very_many_and_very_long_candidates(spark):
+    rng = random.Random(2)
+    long = "".join(rng.choices(secrets.ALPHABET[:64], k=200_000))
+    rows = [" ".join(f"token=abc{i:07d}" for i in range(20_000)), long, "pad " + "A" * 9 + "bK3xQ9zR7mW2vT8pL5nJ" + " end"]
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.report(docs(spark, rows)).collect()}
+    assert time.time() - began < 90
+    assert got[0].n_assign == 20_000 and got[0].spans.endswith(f"assign:{len(rows[0]) - 16}:{len(rows[0])}")
+    assert got[1].spans == "base64:0:200000" and "alnum:4:33" in got[2].spans
+
+
 def test_window_entropy(spark):
     word = "aB3dE5gH7jK9mN1pQ4sT6vW8aaaa"
     best = max(-sum(c / 20 * np.log2(c / 20) for c in map(word[i : i + 20].count, set(word[i : i + 20]))) for i in range(len(word) - 19))
@@ -303,6 +333,37 @@ def test_pii_of_single_digits_alone_in_a_text(spark):
     assert got[0].text != rows[0] and got[0].text in got[2].text and {r.doc_id: r.text for r in pii.restore(out, b"k").collect()} == dict(enumerate(rows))
 
 
+def test_pii_random_round_trips_of_every_kind():
+    rng = random.Random(4)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    luhn = lambda b: b + next(c for c in "0123456789" if pii.luhn(b + c))
+    spaced = lambda s: " ".join(s[i : i + 4] for i in range(0, len(s), 4))
+
+    def iban():
+        body = "".join(rng.choices("0123456789ABCDEFGH", k=rng.randint(11, 30)))
+        return f"DE{98 - pii._mod97('DE00' + body):02d}{body}"
+
+    def day(form):
+        d = pii.FIRST_DAY + timedelta(rng.randrange(pii.DAYS))
+        name = pii.MONTHS[d.month - 1].title()
+        return form.format(d=d.day, m=d.month, y=d.year, name=name, short=name[:3].upper())
+
+    forms = ("{d}/{m}/{y}", "{d:02d}/{m:02d}/{y}", "{m}/{d}/{y}", "{y}-{m:02d}-{d:02d}", "{y}/{m:02d}/{d:02d}", "{d} {short} {y}", "{name} {d}, {y}", "{d}.{m}.{y}")
+    made = [lambda f=f: day(f) for f in forms] + [
+        lambda: "".join(rng.choices("abXY019._", k=rng.randint(1, 9))) + "a@b1.example.com", lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), iban,
+        lambda: luhn(digits(rng.randint(12, 18))), lambda: spaced(luhn(digits(15))), lambda: digits(rng.randint(9, 19)), lambda: f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}",
+        lambda: f"+{rng.randint(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}", lambda: " ".join(digits(n) for n in rng.choice([(4, 4, 4), (4, 3, 3, 3), (2, 3, 3, 2)])), lambda: "+" + digits(rng.randint(10, 15)),
+    ]
+    for make in made:
+        for _ in range(300):
+            text = f"x {make()} y"
+            spans = pii.found(text, b"k")
+            new = pii.replaced(text, spans)
+            assert spans and len(new) == len(text) and pii.replaced(new, pii.found(new, b"k", True)) == text, (text, new)
+    many = " ".join(f"{i}.{j}.1.1" for i in range(100, 250) for j in range(100))
+    assert len(pii.found(many, b"k")) == 15_000
+
+
 def test_permutation_is_one():
     for size in (1, 2, 3, 10, 997):
         image = [pii.permute(i, size, b"k", "t") for i in range(size)]
@@ -412,6 +473,61 @@ def test_segmentation_round_trip_and_edges(spark):
     assert gumbel_pieces.report(empty(spark)).count() == 0
 
 
+def test_pipeline_stages_by_brute_force(spark):
+    """Each stage on what its predecessor kept, with a null text, an empty one, repeated rows and clashing columns added."""
+    import corpus_pipeline
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    stage = dict(corpus_pipeline.STAGES)
+    given = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = given.limit(1).select((F.col("doc_id") + 100_000).alias("doc_id"), F.lit(None).cast("string").alias("text"), *corpus_pipeline.COLUMNS[2:])
+    odd = odd.union(odd.select(F.col("doc_id") + 1, F.lit(""), *corpus_pipeline.COLUMNS[2:]))
+    held = lambda df: {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
+    fixed = lambda df: spark.createDataFrame(df.collect(), df.schema)
+
+    model = quality_fm.train(given, corpus_pipeline.held_out(spark.read.parquet(f"{sf}/labels.parquet")).where("not held_out"))
+    good = {r.doc_id for r in quality_fm.score(given, model).where("score >= 0.5").collect()}
+    one = fixed(stage["quality"](spark, given, sf))
+    assert set(held(one)) == good and one.columns == corpus_pipeline.COLUMNS
+
+    two_in = one.unionByName(odd).withColumns({"gone": F.lit(1), "d": F.lit("x"), "h": F.lit("y")})
+    two = fixed(stage["lines"](spark, two_in, sf))
+    db = duckdb.connect()
+    db.register("documents", two_in.select("doc_id", "text").toPandas())
+    want = db.sql(line_runs.SQL.format(min_chars=200) + " select c.doc_id, string_agg(c.line, chr(10) order by c.p) filter (g.p is null), count(g.p) from c left join g on c.doc_id = g.doc_id and c.p = g.p group by 1").fetchall()
+    want = {d: (x, n) for d, x, n in want}
+    got, before = held(two), held(two_in)
+    assert set(got) == {d for d, (x, n) in want.items() if not n or (x or "").strip()}
+    assert all(got[d] == (want[d][0] if want[d][1] else before[d]) for d in got) and two.columns == corpus_pipeline.COLUMNS
+
+    three_in = two.unionByName(two.where("doc_id % 9 = 0"))  # repeated rows
+    three = fixed(stage["near_copies"](spark, three_in, sf))
+    ids = sorted(held(two))
+    words = [(held_ or "").encode().lower().split() for held_ in (got[d] for d in ids)]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else []) for w in words]
+    comp = components(len(ids), lambda i, j: bool(sets[i]) and bool(sets[j]) and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]))
+    assert set(held(three)) == {d for i, d in enumerate(ids) if comp[i] == i}
+
+    four = fixed(stage["leaks"](spark, three, sf))
+    hashes = lambda x: edit_lsh.Words(edit_lsh.lowered(pd.Series([x], dtype=object)), edit_lsh.GAP).hash
+    items = [hashes(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    gone = set()
+    for d, x in held(three).items():
+        h = hashes(x)
+        for item in items:
+            far = len(item) // 5 if len(item) >= 5 else 0
+            if len(item) and len(h) and np.isin(item, h).sum() >= len(item) - far and edit_lsh.distance_in(item, h) <= far:
+                gone.add(d)
+    assert set(held(three)) - set(held(four)) == gone and gone
+
+    five = stage["pieces"](spark, four, sf).collect()
+    texts_ = held(four)
+    pieces = gumbel_pieces.Pieces.load(gumbel_pieces.MODEL)
+    assert {r.doc_id for r in five} == set(texts_)
+    assert all(r.text_ok and pieces.decode(np.array(r.ids, np.int32)) == (texts_[r.doc_id] or "") for r in five)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
