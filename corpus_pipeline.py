@@ -49,7 +49,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of every document that is left."""
-    return gumbel_pieces.report(docs, k=3)
+    return gumbel_pieces.segment(docs, k=3)
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("leaks", leaks), ("pieces", pieces)]
