@@ -60,7 +60,7 @@ def knn_topk(spark, sf):
 
 @query(f"with {KNN_SQL} select q_id, rank::bigint as rank, row_pos, coalesce(source, 'unknown') as source_name, coalesce(length(text), 0)::bigint as n from k left join documents on doc_id = row_pos where rank <= 3")
 def knn_hydrate_context(spark, sf):
-    """Winners joined with their texts after the cut, names with their fallback."""
+    """Winners joined with their texts after the cut, names with their fallback."""
     top = retrieval.context(_knn(spark, sf)).withColumn("doc_id", F.col("row_pos"))
     docs = t(spark, sf, "documents")
     named = retrieval.with_source_names(top, docs.select("doc_id", F.col("source").alias("file_name")))
@@ -130,7 +130,7 @@ s as (select *, case when len(qw) > 0 then len(list_intersect(qw, tw)) / len(qw)
 r as (select *, row_number() over (partition by q_id order by s desc, rank) as new_rank from s qualify new_rank <= 5)
 select q_id, row_pos, new_rank::bigint as rank from r""")
 def rerank_overlap(spark, sf):
-    """Candidates reordered by word overlap with the question."""
+    """Candidates reordered by word overlap with the question."""
     docs = t(spark, sf, "documents").select("doc_id", "text")
     rows = _knn(spark, sf).join(docs.select(F.col("doc_id").alias("q_id"), F.col("text").alias("question")), "q_id").join(docs.withColumnRenamed("doc_id", "row_pos"), "row_pos").where("trim(text) <> ''")
     out = retrieval.rerank(rows, retrieval.overlap_score(F.col("question"), F.col("text")))
@@ -324,7 +324,7 @@ def line_kinds(spark, sf):
 c as (select doc_id % 3 = 0 as already, s.k is not null as hit from x left join s using (k))
 select count(*)::bigint as total, count(*) filter (already)::bigint as already, count(*) filter (not already and hit)::bigint as hits, count(*) filter (not already and not hit)::bigint as to_embed, round((count(*) filter (already or hit)) / count(*) * 100, 2) as avoidance_pct from c""")
 def cache_avoidance(spark, sf):
-    """Chunks done before, cached by content, and left to embed."""
+    """Chunks done before, cached by content, and left to embed."""
     d = t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.lit("").alias("embedding_text"), F.trim("text").alias("text_clean"), F.lit(True).alias("index_this"), (F.col("doc_id") % 6).alias("m"))
     keyed = embedding.with_cache_key(embedding.eligible(d), "e1")
     store = keyed.where("m % 2 = 0").select("cache_key", F.lit(1).alias("dim"), F.array(F.lit(1.0).cast("float")).alias("vec")).distinct()
@@ -341,7 +341,7 @@ def index_positions(spark, sf):
 
 @query("select vec_id, (len(embedding) = 64 and not list_contains(list_transform(embedding, lambda x: isnan(x) or isinf(x)), true)) as ok, round(list_sum(list_transform(embedding, lambda x: x::double * x::double)), 4) as norm2 from embeddings")
 def vector_validation(spark, sf):
-    """Length, finite values, and the squared norm."""
+    """Length and finite values, and the squared norm by the inner product."""
     return t(spark, sf, "embeddings").select("vec_id", embedding.valid("embedding", 64).alias("ok"), F.round(retrieval.inner_product(F.col("embedding"), F.col("embedding")), 4).alias("norm2"))
 
 
@@ -369,7 +369,7 @@ def _graph(spark, sf):
 
 @query(f"select collection_id, doc_id, chunk_id, sha256(entity_text) as entity_id, entity_text, 'Word' as entity_type from ({MENTIONS})")
 def mentions_distinct(spark, sf):
-    """Mentions read back from nodes and edges."""
+    """Mentions read back from nodes and edges."""
     chunks, nodes, edges, _, _ = _graph(spark, sf)
     return graph.mentions(nodes, edges, chunks).select("collection_id", "doc_id", "chunk_id", "entity_id", "entity_text", "entity_type")
 
@@ -532,7 +532,7 @@ def file_names(spark, sf):
 
 @query("select lang as collection_id, count(*)::bigint as n_docs, sum(length(text))::bigint as bytes from documents group by 1")
 def collection_sizes(spark, sf):
-    """Documents and characters of each collection."""
+    """Documents and characters of each collection."""
     d = t(spark, sf, "documents").select(F.col("lang").alias("collection_id"), F.length("text").alias("length"))
     return registry.directory_size(d).join(d.groupBy("collection_id").agg(F.count("*").alias("n_docs")), "collection_id").select("collection_id", "n_docs", "bytes")
 
