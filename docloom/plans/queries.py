@@ -332,6 +332,18 @@ def cache_avoidance(spark, sf):
     return embedding.avoidance(d, done, store, "e1", 1)
 
 
+@query("""with x as (select doc_id, sha256(concat_ws('|', sha256('e1'), sha256(trim(text)))) as k from documents where trim(text) <> ''), s as (select distinct k from x where doc_id % 2 = 0)
+select doc_id::varchar as chunk_id, k as cache_key, s.k is not null as hit from x left join s using (k) where doc_id % 3 <> 0""")
+def embed_todo(spark, sf):
+    """M6, M7: chunks that an embedder has not done yet, and whether their vector is in the store."""
+    d = t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.lit("").alias("embedding_text"), F.trim("text").alias("text_clean"), F.lit(True).alias("index_this"), (F.col("doc_id") % 6).alias("m"))
+    keyed = embedding.with_cache_key(embedding.eligible(d), "e1")
+    store = keyed.where("m % 2 = 0").select("cache_key", F.lit(1).alias("dim"), F.array(F.lit(1.0).cast("float")).alias("vec")).distinct()
+    done = d.where("m % 3 = 0").select("doc_id", "chunk_id", F.lit("e1").alias("embedder_id"))
+    rows = embedding.fetched(embedding.todo(keyed, done, "e1"), store, 1)
+    return rows.select("chunk_id", "cache_key", F.col("vector").isNotNull().alias("hit"))
+
+
 @query("select vec_id, row_number() over (order by label::varchar, vec_id % 9, vec_id::varchar)::bigint - 1 as row_pos from embeddings")
 def index_positions(spark, sf):
     """Dense positions of all vectors in document order."""
