@@ -29,9 +29,11 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,8 @@ CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Code points that are no characters; one that a text lacks stands for a literal mark.
 SPARE = ("￿", "￾", "﷐", "﷑", "﷒")
 STEP = 150_000
+#: Characters of distinct words whose lattices a worker keeps; beyond that it begins anew.
+KEEP = 1_500_000
 SPREAD = U(0x9E3779B97F4A7C15)
 
 
@@ -73,18 +77,33 @@ class Pieces:
             self.weight[i] = -np.log((score if score < n else i) + OFFSET)
         self.unknown = -np.log(n + OFFSET)
         self.longest = max(len(self.text[i]) for i in ids)
-        keys = np.array([self.key(self.text[i]) for i in ids], U)
+        keys = np.array([self.prefixes(self.text[i])[-1] for i in ids], U)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(ids, np.int32)[order]
-        self.flags = np.zeros(1 << 22, bool)
-        self.flags[(keys >> U(42)).astype(np.int64)] = True
+        # 1: may begin a piece, 2: may be a piece
+        self.flags = np.zeros(1 << 22, np.uint8)
+        begins = np.array(list({h for i in ids for h in self.prefixes(self.text[i])}), U)
+        self.flags[self.place(begins)] = 1
+        self.flags[self.place(keys)] |= 2
+        # what a piece decodes to, in bytes
+        self.raws = [t.replace(MARK, " ").encode() for t in self.text]
+        for value, i in enumerate(self.byte.tolist()):
+            self.raws[i] = bytes([value])
+        self.lattice = Lattice(self)
 
     @staticmethod
-    def key(text: str) -> int:
-        h = 0
+    def prefixes(text: str) -> list[int]:
+        """Hashes of all beginnings of a text, the whole last."""
+        out, h = [], 0
         for c in text:
             h = (h * int(SPREAD) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
-        return int(mix(np.array([h], U))[0])
+            out.append(h)
+        return out
+
+    @staticmethod
+    def place(hashes: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((hashes ^ (hashes >> U(32))) * U(0xD6E8FEB86659FD93) >> U(42)).astype(np.int64)
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -92,146 +111,230 @@ class Pieces:
             cls._have[path] = cls(path)
         return cls._have[path]
 
+    def raw(self, ids: np.ndarray) -> bytes:
+        """The bytes that the pieces stand for, with the space in front of the first word."""
+        return b"".join([self.raws[i] for i in ids.tolist()])
+
     def decode(self, ids: np.ndarray) -> str:
-        out, raw = [], bytearray()
-        lowest, highest = self.byte.min(), self.byte.max()
-        for i in ids.tolist():
-            if lowest <= i <= highest:
-                raw.append(i - lowest)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw = bytearray()
-            out.append(self.text[i].replace(MARK, " "))
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        return "".join(out)[1:]
+        return self.raw(ids).decode("utf-8", "replace")[1:]
 
 
-def draw(*parts) -> np.ndarray:
-    """Uniform numbers in (0, 1) from hashes of the parts."""
-    h = U(0x243F6A8885A308D3)
+def hashed(h, *parts):
+    """The hash h taken on by further parts."""
     with np.errstate(over="ignore"):
         for p in parts:
             h = mix((np.asarray(p).astype(U) if not isinstance(p, np.ndarray) or p.dtype != U else p) + h * SPREAD + U(1))
+    return h
+
+
+def uniform(h):
     return ((h >> U(12)).astype(np.float64) + 0.5) / 2.0**52
 
 
+def draw(*parts) -> np.ndarray:
+    """Uniform numbers in (0, 1) from hashes of the parts."""
+    return uniform(hashed(U(0x243F6A8885A308D3), *parts))
+
+
 class Lattice:
-    """Arcs, backward sums and arc distributions of the distinct words of a batch."""
-
-    def __init__(self, words: list[str], pieces: Pieces, marks: list[str]):
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(U)
-        n = len(code)
-        self.start = np.concatenate(([0], np.cumsum(sizes)))
-        rest = np.repeat(self.start[1:], sizes) - np.arange(n)  # characters up to the word's end
-        width = pieces.longest
-        self.id = np.full((n, width), -1, np.int32)
-        self.weight = np.full((n, width), -np.inf)
-        h = np.zeros(n, U)
+    """Arcs and their distributions of the distinct words met so far, position by position.
+
+    The arcs of a position lie together: `key` is the position plus the share of the arcs up to
+    this one, so one search draws an arc; `logrest` is the log share of the position's other arcs.
+    """
+
+    def __init__(self, pieces: Pieces):
+        self.pieces, self.bytes_of = pieces, {}
+        self.reset(KEEP)
+
+    def reset(self, size: int) -> None:
+        self.number: dict[str, int] = {}
+        self.start, self.n, self.arcs = [], 0, 0
+        self.code, self.rest, self.ptr = np.empty(size, np.uint32), np.empty(size, np.int32), np.zeros(size + 1, np.int32)
+        self.room(5 * size // 2)
+
+    def room(self, arcs: int) -> None:
+        for name, kind in (("key", np.float64), ("logp", np.float64), ("logrest", np.float32), ("id", np.int32), ("long", np.int8)):
+            new = np.empty(arcs, kind)
+            if self.arcs:
+                new[: self.arcs] = getattr(self, name)[: self.arcs]
+            setattr(self, name, new)
+
+    def words(self, chunks: list[list[str]]) -> np.ndarray:
+        """Where each of the words, text by text and without the mark in front, begins."""
+        flat = list(chain.from_iterable(chunks))
+        found = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
+        lacking = np.flatnonzero(found < 0).tolist()
+        new = list(dict.fromkeys([flat[i] for i in lacking]))
+        if self.n + sum(map(len, new)) + len(new) > len(self.code):
+            lacking, new = range(len(flat)), list(dict.fromkeys(flat))
+            self.reset(max(KEEP, sum(map(len, new)) + len(new)))
+        if new:
+            self._add(new)
+            found[lacking] = [self.number[flat[i]] for i in lacking]
+        return found
+
+    def _add(self, words: list[str]) -> None:
+        pieces = self.pieces
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        code = np.frombuffer((MARK + MARK.join(words)).encode("utf-32-le"), np.uint32).astype(U)
+        n, start = len(code), np.cumsum(sizes) - sizes
+        rest = np.repeat(start + sizes, sizes) - np.arange(n)  # characters up to the word's end
+        row, col, ids, weight = [], [], [], []
+        live, h = np.arange(n), np.zeros(n, U)
         with np.errstate(over="ignore"):
-            for k in range(min(width, int(rest.max()) if n else 0)):
-                h[: n - k] = h[: n - k] * SPREAD + code[k:] + U(1)
-                live = np.flatnonzero(rest > k)
-                key = mix(h[live])
-                live, key = live[hit := pieces.flags[(key >> U(42)).astype(np.int64)]], key[hit]
-                at = np.minimum(np.searchsorted(pieces.keys, key), len(pieces.keys) - 1)
-                good = pieces.keys[at] == key
-                self.id[live[good], k] = pieces.ids[at[good]]
-                self.weight[live[good], k] = pieces.weight[pieces.ids[at[good]]]
-        used = (self.id >= 0).any(axis=0)
-        width = max(1, int(np.flatnonzero(used).max(initial=0)) + 1)
-        self.id, self.weight = self.id[:, :width].copy(), self.weight[:, :width].copy()
-        alone = np.flatnonzero(self.id[:, 0] < 0)  # characters that fall back to bytes
-        self.code = code
-        self.bytes_of = {int(c): (MARK if chr(int(c)) in marks else chr(int(c))).encode("utf-8", "replace") for c in np.unique(code[alone])}
-        self.weight[alone, 0] = [pieces.unknown * len(self.bytes_of[int(c)]) for c in code[alone]]
-        beta = np.zeros(n + 1)
-        order = np.argsort(rest, kind="stable")
-        bounds = np.searchsorted(rest[order], np.arange(1, (int(rest.max()) if n else 0) + 2))
-        for r in range(1, len(bounds)):
-            at = order[bounds[r - 1] : bounds[r]]
-            k = min(r, width)
-            after = at[:, None] + np.arange(1, k + 1)
-            w = self.weight[at, :k] + np.where(np.arange(1, k + 1) == r, 0.0, beta[np.minimum(after, n)])
-            top = w.max(axis=1)
-            beta[at] = top + np.log(np.exp(w - top[:, None]).sum(axis=1))
-        nxt = np.arange(n)[:, None] + np.arange(1, width + 1)
-        tail = np.where(np.arange(1, width + 1) == rest[:, None], 0.0, beta[np.minimum(nxt, n)])
-        self.p = np.exp(self.weight + tail - beta[:n, None]).astype(np.float32)  # of the next arc at each position
-        self.logp = self.weight + tail - beta[:n, None]
-        self.cdf = np.cumsum(self.p, axis=1)
-        self.lone = (self.p > 0).sum(axis=1) < 2  # positions with one arc
-        self.rest = rest
-
-    def walk(self, at: np.ndarray, *seed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            for k in range(pieces.longest):
+                h = h * SPREAD + code[live + k] + U(1)
+                flag = pieces.flags[pieces.place(h)]
+                hit = np.flatnonzero(flag > 1)
+                at = np.minimum(np.searchsorted(pieces.keys, h[hit]), len(pieces.keys) - 1)
+                good = pieces.keys[at] == h[hit]
+                row.append(live[hit[good]])
+                col.append(np.full(len(row[-1]), k + 1))
+                ids.append(pieces.ids[at[good]])
+                weight.append(pieces.weight[ids[-1]])
+                on = np.flatnonzero((flag > 0) & (rest[live] > k + 1))
+                live, h = live[on], h[on]
+                if not len(live):
+                    break
+        some = np.zeros(n, bool)
+        some[row[0]] = True
+        alone = np.flatnonzero(~some)  # characters that fall back to bytes
+        for c in np.unique(code[alone]).tolist():
+            self.bytes_of[c] = chr(c).encode("utf-8", "replace")
+        row.append(alone)
+        col.append(np.ones(len(alone), np.int64))
+        one = code[alone] < 128  # a single byte is a piece
+        ids.append(np.where(one, pieces.byte[np.where(one, code[alone], 0).astype(np.int64)], -1).astype(np.int32))
+        weight.append(np.array([pieces.unknown * len(self.bytes_of[c]) for c in code[alone].tolist()]))
+        row, col, ids, weight = (np.concatenate(x) for x in (row, col, ids, weight))
+        order = np.argsort(row.astype(np.int32), kind="stable")
+        row, col, ids, weight = row[order], col[order], ids[order], weight[order]
+        m, inner = len(row), rest[row] > col
+        head = np.flatnonzero(np.append(True, row[1:] != row[:-1]))  # every position has an arc
+        sizes = np.diff(np.append(head, m))
+        # backward sums, from the words' ends on: all positions with as many characters left at once
+        beta, full = np.zeros(n + 1), weight
+        order = np.argsort(rest.astype(np.uint16) if rest.max() < 65536 else rest, kind="stable")
+        bounds = np.searchsorted(rest[order], np.arange(1, int(rest.max()) + 2))
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            if lo < hi:
+                at = order[lo:hi]
+                k = sizes[at]
+                local = np.cumsum(k) - k
+                arcs = np.repeat(head[at] - local, k) + np.arange(len(local) and local[-1] + k[-1])
+                w = weight[arcs] + np.where(inner[arcs], beta[row[arcs] + col[arcs] * inner[arcs]], 0.0)
+                top = np.maximum.reduceat(w, local)
+                beta[at] = top + np.log(np.add.reduceat(np.exp(w - np.repeat(top, k)), local))
+                full[arcs] = w
+        logp = full - beta[row]
+        p = np.exp(logp)
+        sums = np.cumsum(p)
+        share = sums - np.repeat(sums[head] - p[head], sizes)
+        # the other arcs' share: of the likeliest arc their sum, of others what they leave of 1
+        likely = p >= np.repeat(np.maximum.reduceat(p, head), sizes)
+        others = np.where(likely, np.repeat(np.add.reduceat(np.where(likely, 0.0, p), head), sizes), 1.0 - p)
+        ties = np.repeat(np.add.reduceat(likely.astype(np.int64), head), sizes) > 1
+        others[ties & likely] = 1.0 - p[ties & likely]
+        a, b = self.arcs, self.n
+        if a + m > len(self.key):
+            self.room(2 * (a + m))
+        last = np.append(row[1:] != row[:-1], True)
+        self.key[a : a + m] = b + row + np.where(last, 1.0, np.minimum(share, 1.0))
+        self.logp[a : a + m], self.id[a : a + m], self.long[a : a + m] = logp, ids, col
+        with np.errstate(divide="ignore"):
+            self.logrest[a : a + m] = np.log(others)
+        self.code[b : b + n], self.rest[b : b + n] = code, rest
+        self.ptr[b + 1 : b + n + 1] = a + np.append(head[1:], m)
+        self.number.update(zip(words, (b + start).tolist(), strict=True))
+        self.n, self.arcs = b + n, a + m
+
+    def walk(self, at: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Forward sampling from positions to the ends of their words: (walker, position, arc) in order."""
-        who, out, step = np.arange(len(at)), [], 0
-        at = at.copy()
+        walkers = np.arange(len(at))
+        who, out, step = walkers, [], 0
         while len(who):
-            cdf, rest = self.cdf[at], self.rest[at]
-            u = (draw(*[s[who] if isinstance(s, np.ndarray) else s for s in seed], step) * cdf[:, -1]).astype(np.float32)
-            arc = np.minimum(np.count_nonzero(cdf < u[:, None], axis=1), np.minimum(rest, cdf.shape[1]) - 1)
+            arc, goal = self.ptr[at].astype(np.int64), at + uniform(hashed(seed, step))
+            short = np.flatnonzero(self.key[arc] < goal)
+            while len(short):  # two or three arcs begin at a position
+                arc[short] += 1
+                short = short[self.key[arc[short]] < goal[short]]
             out.append((who, at, arc))
-            more = rest > arc + 1
-            who, at, step = who[more], (at + arc + 1)[more], step + 1
-        if not out:
-            return (np.empty(0, np.int64),) * 3
-        who, pos, arc = (np.concatenate(x) for x in zip(*out, strict=True))
-        order = np.argsort(who, kind="stable")
-        return who[order], pos[order], arc[order]
+            long = self.long[arc]
+            more = self.rest[at] > long
+            who, at, seed, step = who[more], (at + long)[more], seed[more], step + 1
+        counts = np.zeros(len(walkers), np.int64)
+        for who, _, _ in out:
+            counts[who] += 1
+        begin = np.cumsum(counts) - counts
+        pos, arcs = np.empty((2, int(counts.sum())), np.int64)
+        for step, (who, at, arc) in enumerate(out):
+            pos[begin[who] + step], arcs[begin[who] + step] = at, arc
+        return np.repeat(walkers, counts), pos, arcs
 
 
 class Path:
     """One sampled segmentation of a text and the open nodes along it.
 
     `begin` is the first token that is not shared with the parent path; nodes before stay with that one.
+    `free` holds the Gumbel draws of the nodes not popped yet, before they are truncated at the path's value,
+    which keeps their order; `cut` holds what is left of popped ones, truncated.
     """
 
-    def __init__(self, word, pos, arc, begin, base, value, lattice, seed):
-        self.word, self.pos, self.arc, self.value, self.begin = word, pos, arc, value, begin
-        at, taken = pos[begin:], arc[begin:]
-        self.before = np.concatenate(([base], base + np.cumsum(lattice.logp[at, taken])))
-        self.logp = float(self.before[-1])
-        self.shut = {}  # token -> arcs excluded there
-        with np.errstate(divide="ignore"):
-            mass = self.before[:-1] + np.log(np.where(lattice.lone[at], 0.0, np.maximum(1.0 - lattice.p[at, taken], 1e-9)))
-        e = -np.log(draw(seed, U(77), np.arange(begin, len(pos), dtype=np.int64)))
-        self.open = bound(mass, value, e)
-        self.top = float(self.open.max()) if len(self.open) else -np.inf
-
-
-def bound(mass, value, e):
-    """Gumbel draws at log masses, truncated at a value."""
-    with np.errstate(divide="ignore"):
-        return -np.logaddexp(-value, np.log(e) - mass)
+    def __init__(self, word, pos, arc, begin, fresh, logp, value):
+        self.word, self.pos, self.arc, self.begin, self.value = word, pos, arc, begin, value
+        self.before, self.free = fresh  # of the tokens from `begin` on
+        self.logp, self.shut, self.cut = logp, {}, {}  # token -> arcs excluded there, what is left of it
+        self.settle()
+
+    def settle(self) -> None:
+        self.where = int(self.free.argmax()) if len(self.free) else 0
+        best = self.free[self.where] if len(self.free) else -np.inf
+        self.top = float(-np.logaddexp(-self.value, -best)) if best > -np.inf else -np.inf
+        for o, value in self.cut.items():
+            if value > self.top:
+                self.where, self.top = o, float(value)
+
+
+def opened(lattice: Lattice, arc: np.ndarray, ends: np.ndarray, base: np.ndarray, begin: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the new tokens of many paths, one after the other: log-probability before each, free Gumbel draws, and each path's log-probability."""
+    counts = np.diff(ends)
+    step = lattice.logp[arc]
+    sums = np.concatenate(([0.0], np.cumsum(step)))
+    before = sums[:-1] + np.repeat(base - sums[ends[:-1]], counts)
+    free = before + lattice.logrest[arc]
+    some = np.flatnonzero(free > -np.inf)  # elsewhere there is no other arc
+    path = np.repeat(np.arange(len(counts)), counts)[some]
+    free[some] -= np.log(-np.log(uniform(hashed(hashed(U(0x243F6A8885A308D3), seed, U(77))[path], some - ends[path] + begin[path]))))
+    return before, free, base + sums[ends[1:]] - sums[ends[:-1]]
 
 
 def sample_batch(texts: list[str], keys: np.ndarray, k: int, seed: int, pieces: Pieces) -> list[list[tuple[float, float, float, np.ndarray]]]:
     """For each text up to k of (log-probability, perturbed value, inclusion, piece ids), best first."""
     chunks, marks = [], []
     for t in texts:
-        if MARK in t:
-            spare = next((s for s in SPARE if s not in t), SPARE[0])
-            marks.append(spare)
-            t = t.replace(MARK, spare)
-        chunks.append(CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [])
-    number: dict[str, int] = {}
-    flat = np.array([number.setdefault(c, len(number)) for row in chunks for c in row], np.int64)
-    lattice = Lattice(list(number), pieces, marks)
+        marks.append(next((s for s in SPARE if s not in t), SPARE[0]) if MARK in t else "")
+        t = t.replace(MARK, marks[-1]) if marks[-1] else t
+        if not t or ("  " not in t and t[0] != " " and t[-1] != " "):
+            chunks.append(t.split(" ") if t else [])
+        else:  # more than one mark at a word
+            chunks.append([c[1:] for c in CHUNK.findall(MARK + t.replace(" ", MARK))])
+    lattice = pieces.lattice
+    flat = lattice.words(chunks)
     count = np.array([len(c) for c in chunks], np.int64)
     first = np.concatenate(([0], np.cumsum(count)))
     owner = np.repeat(np.arange(len(texts)), count)
     word = np.arange(len(flat)) - first[owner] if len(flat) else flat
     rowkey = mix(keys.astype(np.int64).view(U) + U(seed) * SPREAD)
-    who, pos, arc = lattice.walk(lattice.start[flat], rowkey[owner], U(0), word)
+    who, pos, arc = lattice.walk(flat, hashed(U(0x243F6A8885A308D3), rowkey[owner], U(0), word))
     ends = np.searchsorted(owner[who] if len(who) else who, np.arange(len(texts) + 1))
     root = -np.log(-np.log(draw(rowkey, U(99))))
+    zero = np.zeros(len(texts), np.int64)
+    before, free, logp = opened(lattice, arc, ends, zero.astype(float), zero, rowkey)
     paths: list[list[Path]] = []
     for i in range(len(texts)):
         s = slice(ends[i], ends[i + 1])
-        paths.append([Path(word[who[s]], pos[s], arc[s], 0, 0.0, root[i], lattice, rowkey[i])] if count[i] else [])
+        paths.append([Path(word[who[s]], pos[s], arc[s], 0, (before[s], free[s]), float(logp[i]), root[i])] if count[i] else [])
 
     for turn in range(1, k):
         jobs = []  # (text, parent, token, new arc)
@@ -242,44 +345,51 @@ def sample_batch(texts: list[str], keys: np.ndarray, k: int, seed: int, pieces:
             value = best.top
             if value == -np.inf:
                 continue
-            o = int(best.open.argmax())
+            o = best.where
             t = o + best.begin
             at = best.pos[t]
+            arcs = np.arange(lattice.ptr[at], lattice.ptr[at + 1])
             shut = best.shut.setdefault(t, [int(best.arc[t])])
-            p = lattice.p[at].astype(np.float64)
-            p[shut] = 0
+            p = np.exp(lattice.logp[arcs])
+            p[np.array(shut) - arcs[0]] = 0
             c = np.cumsum(p)
             new = int((c < draw(rowkey[i], U(turn), U(55)) * c[-1]).sum())
-            shut.append(new)
+            shut.append(int(arcs[new]))
             p[new] = 0
-            live = p.sum() if (p > 0).any() else 0.0
+            live = p.sum()
             e = -np.log(draw(rowkey[i], U(turn), U(66)))
-            best.open[o] = bound(best.before[o] + np.log(live), value, e) if live > 0 else -np.inf
-            best.top = float(best.open.max())
+            # what is left of the node is truncated at the value that it has given away
+            best.free[o] = -np.inf
+            best.cut[o] = -np.logaddexp(-value, np.log(e) - best.before[o] - np.log(live)) if live > 0 else -np.inf
+            best.settle()
+            new = int(arcs[new])
             jobs.append((i, best, t, new, value))
         if not jobs:
             break
         begins, seeds, words, tags = [], [], [], []
         for j, (i, best, t, new, _) in enumerate(jobs):
-            w, nxt = int(best.word[t]), int(best.pos[t]) + new + 1
-            inside = lattice.rest[best.pos[t]] > new + 1
-            later = np.arange(w + 1, count[i])
-            begins.append(np.concatenate(([nxt], lattice.start[flat[first[i] + later]])) if inside else lattice.start[flat[first[i] + later]])
+            w, nxt = int(best.word[t]), int(best.pos[t]) + int(lattice.long[new])
+            inside = lattice.rest[best.pos[t]] > lattice.long[new]
+            later, ahead = np.arange(w + 1, count[i]), flat[first[i] + w + 1 : first[i] + count[i]]
+            begins.append(np.concatenate(([nxt], ahead)) if inside else ahead)
             words.append(np.concatenate(([w], later)) if inside else later)
             seeds.append(np.full(len(words[-1]), rowkey[i], U))
             tags.append(np.full(len(words[-1]), j))
         begins, words, seeds, tags = (np.concatenate(x) for x in (begins, words, seeds, tags))
-        who, pos, arc = lattice.walk(begins, seeds, U(turn), words)
+        who, pos, arc = lattice.walk(begins, hashed(U(0x243F6A8885A308D3), seeds, U(turn), words))
         ends = np.searchsorted(tags[who] if len(who) else who, np.arange(len(jobs) + 1))
+        base = np.array([best.before[t - best.begin] for _, best, t, _, _ in jobs]) + lattice.logp[[new for _, _, _, new, _ in jobs]]
+        begin = np.array([t + 1 for _, _, t, _, _ in jobs])
+        before, free, logp = opened(lattice, arc, ends, base, begin, mix(rowkey[[i for i, *_ in jobs]] + U(turn)))
         for j, (i, best, t, new, value) in enumerate(jobs):
             s = slice(ends[j], ends[j + 1])
             paths[i].append(Path(
                 np.concatenate([best.word[: t + 1], words[who[s]]]), np.concatenate([best.pos[: t + 1], pos[s]]),
-                np.concatenate([best.arc[:t], [new], arc[s]]), t + 1, float(best.before[t - best.begin] + lattice.logp[best.pos[t], new]), value, lattice, mix(rowkey[i : i + 1] + U(turn))[0],
+                np.concatenate([best.arc[:t], [new], arc[s]]), t + 1, (before[s], free[s]), float(logp[j]), value,
             ))
 
     out = []
-    for mine in paths:
+    for mine, mark in zip(paths, marks, strict=True):
         if not mine:
             out.append([(0.0, 0.0, 1.0, np.empty(0, np.int32))])
             continue
@@ -287,10 +397,10 @@ def sample_batch(texts: list[str], keys: np.ndarray, k: int, seed: int, pieces:
         rows = []
         for p in mine:
             share = 1.0 if left == -np.inf else float(-np.expm1(-np.exp(min(p.logp - left, 50.0))))
-            ids = lattice.id[p.pos, p.arc]
+            ids = lattice.id[p.arc]
             lost = np.flatnonzero(ids < 0)
             if len(lost):
-                raws = [lattice.bytes_of[int(c)] for c in lattice.code[p.pos[lost]]]
+                raws = [MARK.encode() if mark and chr(c) == mark else lattice.bytes_of[c] for c in lattice.code[p.pos[lost]].tolist()]
                 sizes = np.ones(len(ids), np.int64)
                 sizes[lost] = [len(r) for r in raws]
                 at = np.repeat(ids < 0, sizes)
@@ -301,29 +411,36 @@ def sample_batch(texts: list[str], keys: np.ndarray, k: int, seed: int, pieces:
     return out
 
 
+SAMPLES = pa.schema([
+    ("doc_id", pa.int64()), ("rank", pa.int32()), ("n_pieces", pa.int32()), ("logp", pa.float64()), ("perturbed", pa.float64()),
+    ("inclusion", pa.float64()), ("text_ok", pa.bool_()), ("ids_sha256", pa.string()), ("ids", pa.list_(pa.int32())),
+])
+
+
 def segment(docs: DataFrame, k: int = 3, seed: int = 0, model: str = MODEL, with_ids: bool = True) -> DataFrame:
-    """(doc_id, text_ok, samples) for every row of `docs` (doc_id, text).
+    """(doc_id, rank, n_pieces, logp, perturbed, inclusion, text_ok, ids_sha256, ids): up to k rows, best first, for every row of `docs` (doc_id, text).
 
-    samples: array<struct<rank, n_pieces, logp, perturbed, inclusion, ids_sha256, ids>>, best first; `ids`
-    is null without `with_ids`. text_ok: the first sample decodes to the text.
+    text_ok: these pieces decode to the text. Without `with_ids` the ids are null.
     """
-    kind = "array<struct<rank: int, n_pieces: int, logp: double, perturbed: double, inclusion: double, ids_sha256: string, ids: array<int>>>"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.load(model)
-        for part in steps(frames, step=STEP):
+        for part in steps((b.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get) for b in batches), step=STEP):
             texts = [(t or "").encode("utf-8", "replace").decode("utf-8") for t in part["text"]]
             keys = part["doc_id"].fillna(-1).astype("int64").to_numpy()
-            rows, fine = [], []
-            for text, mine in zip(texts, sample_batch(texts, keys, k, seed, pieces), strict=True):
-                fine.append(pieces.decode(mine[0][3]) == text)
-                rows.append([
-                    {"rank": r, "n_pieces": len(ids), "logp": lp, "perturbed": v, "inclusion": q, "ids_sha256": hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), "ids": ids.tolist() if with_ids else None}
-                    for r, (lp, v, q, ids) in enumerate(mine, 1)
-                ])
-            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "text_ok": fine, "samples": rows})
+            rows, ids = [], []
+            for doc, text, mine in zip(part["doc_id"], texts, sample_batch(texts, keys, k, seed, pieces), strict=True):
+                raw = text.encode()
+                for r, (lp, v, q, found) in enumerate(mine, 1):
+                    rows.append((None if doc is pd.NA else doc, r, len(found), lp, v, q, pieces.raw(found)[1:] == raw, hashlib.sha256(found.astype("<i4").tobytes()).hexdigest()))
+                    ids.append(found)
+            at = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids).astype(np.int32))) if with_ids else pa.nulls(len(ids), pa.list_(pa.int32()))
+            columns = [pa.array(c, SAMPLES.field(i).type) for i, c in enumerate(zip(*rows, strict=True))]
+            yield pa.RecordBatch.from_arrays([*columns, lists], schema=SAMPLES)
 
-    return pick(docs, "doc_id", "text").mapInPandas(run, f"doc_id bigint, text_ok boolean, samples {kind}")
+    kinds = "doc_id bigint, rank int, n_pieces int, logp double, perturbed double, inclusion double, text_ok boolean, ids_sha256 string, ids array<int>"
+    return pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, kinds)
 
 
 def decode(rows: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
@@ -338,6 +455,5 @@ def decode(rows: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
 
 
 def report(docs: DataFrame, k: int = 3, seed: int = 0) -> DataFrame:
-    """One row for each document and sample, without the ids themselves."""
-    rows = segment(docs, k, seed, with_ids=False).select("doc_id", "text_ok", F.explode("samples").alias("s"))
-    return rows.select("doc_id", "text_ok", "s.rank", "s.n_pieces", "s.logp", "s.perturbed", "s.inclusion", "s.ids_sha256")
+    """One row for each document and sample, with the digest of the ids in place of them."""
+    return segment(docs, k, seed, with_ids=False).drop("ids")
