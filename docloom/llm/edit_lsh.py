@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import Scratch, pick, small
-from docloom.llm.textkernel import U, Words, lowered, mix, steps
+from docloom.llm.textkernel import U, Words, lowered, mix, slices, steps
 
 GAP = np.ones(256, bool)
 GAP[ord("a") : ord("z") + 1] = GAP[ord("0") : ord("9") + 1] = GAP[ord("A") : ord("Z") + 1] = False
@@ -247,7 +247,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     met = met.join(items.select("item_id", "n_words", "far", "words"), "item_id")
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in slices(frames, ["stretch", "words"]):
             for _, mine in frame.groupby("item_id", sort=False):
                 item, far = np.frombuffer(mine["words"].iloc[0], U), int(mine["far"].iloc[0])
                 for lo in range(0, len(mine), 512):

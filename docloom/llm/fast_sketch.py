@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import Scratch, connected_components, pick
-from docloom.llm.textkernel import U, Words, lowered, mix, steps
+from docloom.llm.textkernel import U, Words, lowered, mix, slices, steps
 
 #: Bands of ROWS coordinates: at similarity 0.8 a pair is missed with (1 - 0.8**5)**32 = 3e-6.
 BANDS, ROWS = 32, 5
@@ -123,13 +123,13 @@ def _sets(width: int):
 
 def _verified(percent: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in slices(frames, ["held_p", "held"]):
             keep = []
             for left, right in zip(frame["held_p"], frame["held"], strict=True):
                 x, y = np.frombuffer(left, U), np.frombuffer(right, U)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield frame.loc[keep, PAIR]
+            yield frame.iloc[np.flatnonzero(keep)][PAIR]
 
     return run
 
@@ -147,7 +147,7 @@ def _differences(percent: int):
     full, part_ = 100 + percent, 100 - percent
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in slices(frames, ["held_p", "held"]):
             out = []
             for p, ph, d, h, cp, cc, left, right in frame[[*PAIR, "cp", "cc", "held_p", "held"]].itertuples(index=False):
                 x, y = np.frombuffer(left, U), np.frombuffer(right, U)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text hashed at once; the tables take about 60 bytes for each.
@@ -62,8 +64,36 @@ class Words:
         self.raw = raw
 
 
+def release() -> None:
+    """Gives memory that is free in this worker back, as workers stay for later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def steps(frames: Iterator[pd.DataFrame], column: str = "text", step: int = STEP) -> Iterator[pd.DataFrame]:
-    """Cuts each Arrow batch into runs of rows of about `step` bytes of text."""
+    """Cuts each Arrow batch into runs of rows of about `step` bytes of text; frees memory at the end."""
+    try:
+        yield from _cut(frames, column, step)
+    finally:
+        release()
+
+
+def slices(frames: Iterator[pd.DataFrame], columns: list[str], size: int = 1 << 23) -> Iterator[pd.DataFrame]:
+    """Cuts each Arrow batch into runs of rows of about `size` bytes in the binary columns; frees memory at the end."""
+    try:
+        for frame in frames:
+            if len(frame):
+                held = sum(frame[c].map(len).to_numpy() for c in columns).cumsum() // size
+                for part in np.split(np.arange(len(frame)), np.flatnonzero(np.diff(held)) + 1):
+                    yield frame.iloc[part]
+    finally:
+        release()
+
+
+def _cut(frames: Iterator[pd.DataFrame], column: str, step: int) -> Iterator[pd.DataFrame]:
     for frame in frames:
         if not len(frame):
             continue
