@@ -44,8 +44,8 @@ from docloom.llm.textkernel import U, mix, powers, prefix, steps
 
 #: Bytes of a piece of text that is worked on at once; pieces overlap by length - 1 bytes.
 PIECE = 1 << 20
-#: Classes of a block beyond which its strings are compared by a shuffle.
-CROWD = 512
+#: Classes of a match beyond which its strings are compared by a shuffle; below, one task holds some 500 bytes for each.
+CROWD = 8192
 KEY = ["g", "h"]
 
 
