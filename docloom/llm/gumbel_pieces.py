@@ -80,15 +80,22 @@ class Pieces:
         keys = np.array([self.prefixes(self.text[i])[-1] for i in ids], U)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(ids, np.int32)[order]
+        # where a key is found; -1: several keys share the place, they are searched for
+        spots, times = np.unique(self.spot(self.keys), return_counts=True)
+        self.slot = np.zeros(1 << 18, np.int32)
+        self.slot[self.spot(self.keys)] = np.arange(len(self.keys))
+        self.slot[spots[times > 1]] = -1
         # 1: may begin a piece, 2: may be a piece
         self.flags = np.zeros(1 << 22, np.uint8)
         begins = np.array(list({h for i in ids for h in self.prefixes(self.text[i])}), U)
         self.flags[self.place(begins)] = 1
         self.flags[self.place(keys)] |= 2
         # what a piece decodes to, in bytes
-        self.raws = [t.replace(MARK, " ").encode() for t in self.text]
+        raws = [t.replace(MARK, " ").encode() for t in self.text]
         for value, i in enumerate(self.byte.tolist()):
-            self.raws[i] = bytes([value])
+            raws[i] = bytes([value])
+        self.sizes = np.array([len(r) for r in raws])
+        self.begin, self.raws = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(raws), np.uint8)
         self.lattice = Lattice(self)
 
     @staticmethod
@@ -105,6 +112,17 @@ class Pieces:
         with np.errstate(over="ignore"):
             return ((hashes ^ (hashes >> U(32))) * U(0xD6E8FEB86659FD93) >> U(42)).astype(np.int64)
 
+    @staticmethod
+    def spot(hashes: np.ndarray) -> np.ndarray:
+        return ((hashes ^ (hashes >> U(29))) * SPREAD >> U(46)).astype(np.int64)
+
+    def at(self, hashes: np.ndarray) -> np.ndarray:
+        """Where in `keys` the hashes would be."""
+        at = self.slot[self.spot(hashes)]
+        lost = np.flatnonzero(at < 0)
+        at[lost] = np.minimum(np.searchsorted(self.keys, hashes[lost]), len(self.keys) - 1)
+        return at
+
     @classmethod
     def load(cls, path: str) -> Pieces:
         if path not in cls._have:
@@ -113,7 +131,9 @@ class Pieces:
 
     def raw(self, ids: np.ndarray) -> bytes:
         """The bytes that the pieces stand for, with the space in front of the first word."""
-        return b"".join([self.raws[i] for i in ids.tolist()])
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        return self.raws[np.repeat(self.begin[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
         return self.raw(ids).decode("utf-8", "replace")[1:]
@@ -187,8 +207,9 @@ class Lattice:
                 h = h * SPREAD + code[live + k] + U(1)
                 flag = pieces.flags[pieces.place(h)]
                 hit = np.flatnonzero(flag > 1)
-                at = np.minimum(np.searchsorted(pieces.keys, h[hit]), len(pieces.keys) - 1)
-                good = pieces.keys[at] == h[hit]
+                found = h[hit]
+                at = pieces.at(found)
+                good = pieces.keys[at] == found
                 row.append(live[hit[good]])
                 col.append(np.full(len(row[-1]), k + 1))
                 ids.append(pieces.ids[at[good]])
@@ -214,19 +235,21 @@ class Lattice:
         head = np.flatnonzero(np.append(True, row[1:] != row[:-1]))  # every position has an arc
         sizes = np.diff(np.append(head, m))
         # backward sums, from the words' ends on: all positions with as many characters left at once
-        beta, full = np.zeros(n + 1), weight
+        beta, full = np.zeros(n + 1), np.empty(m)
         order = np.argsort(rest.astype(np.uint16) if rest.max() < 65536 else rest, kind="stable")
         bounds = np.searchsorted(rest[order], np.arange(1, int(rest.max()) + 2))
-        for lo, hi in zip(bounds, bounds[1:], strict=False):
+        k = sizes[order]
+        local = np.cumsum(k) - k
+        arcs = np.repeat(head[order] - local, k) + np.arange(m)
+        w, goal = weight[arcs], np.where(inner, row + col, n)[arcs]  # beyond a word's end the sum is 0
+        ends = np.append(local, m)[bounds]
+        for lo, hi, x, y in zip(bounds, bounds[1:], ends, ends[1:], strict=False):
             if lo < hi:
-                at = order[lo:hi]
-                k = sizes[at]
-                local = np.cumsum(k) - k
-                arcs = np.repeat(head[at] - local, k) + np.arange(len(local) and local[-1] + k[-1])
-                w = weight[arcs] + np.where(inner[arcs], beta[row[arcs] + col[arcs] * inner[arcs]], 0.0)
-                top = np.maximum.reduceat(w, local)
-                beta[at] = top + np.log(np.add.reduceat(np.exp(w - np.repeat(top, k)), local))
-                full[arcs] = w
+                w[x:y] += beta[goal[x:y]]
+                first = local[lo:hi] - x
+                top = np.maximum.reduceat(w[x:y], first)
+                beta[order[lo:hi]] = top + np.log(np.add.reduceat(np.exp(w[x:y] - np.repeat(top, k[lo:hi])), first))
+        full[arcs] = w
         logp = full - beta[row]
         p = np.exp(logp)
         sums = np.cumsum(p)
