@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import edit_lsh, fast_sketch, gumbel_pieces, line_runs, quality_fm
-from docloom.llm.common import Scratch, small
+from docloom.llm.common import Scratch, bounded_batches, small
 from docloom.llm.queries import held_out, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -19,6 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5 go. The model learns from labels that are not held out."""
+    bounded_batches(spark)
     docs = docs.select(*COLUMNS)
     model = quality_fm.train(docs, held_out(table(spark, sf_dir, "labels")).where("not held_out"))
     return quality_fm.score(docs, model, *COLUMNS).where("score >= 0.5").select(*COLUMNS)
@@ -33,6 +34,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: five-word shingles, similarity 0.8 or more."""
+    bounded_batches(spark)
     docs = docs.select(*COLUMNS)
     out = fast_sketch.near_duplicates(docs, width=5, percent=80)
     gone = Scratch(spark, "near").save(out.where("not kept").select("doc_id").distinct(), "gone")
@@ -41,6 +43,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, within the edit distance, go."""
+    bounded_batches(spark)
     docs = docs.select(*COLUMNS)
     found = edit_lsh.contaminated(docs, table(spark, sf_dir, "benchmark"))
     gone = Scratch(spark, "leaks").save(found.select("doc_id").distinct(), "gone")
@@ -49,6 +52,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of every document that is left."""
+    bounded_batches(spark)
     return gumbel_pieces.segment(docs, k=3)
 
 

@@ -12,6 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from docloom.llm import edit_lsh, fast_sketch, gumbel_pieces, language_id, line_runs, pii, pq_index, quality_fm, secrets, suffix_family
 from docloom.llm.common import Scratch, connected_components
 
@@ -485,6 +486,25 @@ def test_segmentation_round_trip_and_edges(spark):
     assert gumbel_pieces.report(empty(spark)).count() == 0
 
 
+def test_pipeline_bounds_the_bytes_of_a_batch(spark):
+    key, session = "spark.sql.execution.arrow.maxBytesPerBatch", spark.newSession()
+
+    def largest():
+        def sizes(frames):
+            for x in frames:
+                yield pd.DataFrame({"n": [int(x["text"].str.len().sum())]})
+
+        texts = session.range(0, 3000, numPartitions=1).select(F.expr("repeat('a b ', 1500) as text"))
+        return max(r.n for r in texts.mapInPandas(sizes, "n long").collect())
+
+    assert largest() == 18_000_000
+    corpus_pipeline.pieces(session, session.createDataFrame([(1, "a")], "doc_id long, text string"), "")
+    assert largest() < 6_000_000
+    session.conf.set(key, "9000000")  # a bound of the session's own stays
+    corpus_pipeline.pieces(session, session.createDataFrame([(1, "a")], "doc_id long, text string"), "")
+    assert session.conf.get(key) == "9000000" or session.conf.get(key) == "9000000b"
+
+
 def test_pipeline_stages_by_brute_force(spark):
     """Each stage on what its predecessor kept, with a null text, an empty one, repeated rows and clashing columns added."""
     import corpus_pipeline
