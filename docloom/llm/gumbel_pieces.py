@@ -48,7 +48,7 @@ CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 SPARE = ("￿", "￾", "﷐", "﷑", "﷒")
 STEP = 150_000
 #: Characters of distinct words whose lattices a worker keeps; beyond that it begins anew.
-KEEP = 1_500_000
+KEEP = 900_000
 SPREAD = U(0x9E3779B97F4A7C15)
 
 
@@ -261,7 +261,7 @@ class Lattice:
         others[ties & likely] = 1.0 - p[ties & likely]
         a, b = self.arcs, self.n
         if a + m > len(self.key):
-            self.room(2 * (a + m))
+            self.room(a + m + len(self.code) // 4)
         last = np.append(row[1:] != row[:-1], True)
         self.key[a : a + m] = b + row + np.where(last, 1.0, np.minimum(share, 1.0))
         self.logp[a : a + m], self.id[a : a + m], self.long[a : a + m] = logp, ids, col

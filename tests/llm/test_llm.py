@@ -469,6 +469,19 @@ def test_piece_table_finds_every_piece():
     assert pieces.raw(ids) == want and pieces.raw(ids[:0]) == b""
 
 
+def test_lattice_grows_by_what_it_lacks():
+    pieces = gumbel_pieces.Pieces.load(gumbel_pieces.MODEL)
+    lattice, words = gumbel_pieces.Lattice(pieces), [f"word{i}ing" for i in range(300)]
+    lattice.reset(8000)
+    lattice.room(10)
+    for lo in (0, 100, 200):
+        lattice.words([words[lo : lo + 100]])
+        assert lattice.arcs <= len(lattice.key) <= lattice.arcs + 2000
+    whole = gumbel_pieces.Lattice(pieces)
+    whole.words([words[:100]])
+    assert (whole.key[: whole.arcs] == lattice.key[: whole.arcs]).all()
+
+
 def test_segmentation_round_trip_and_edges(spark):
     rows = [*texts(), "a", " ", "▁▁ x", "tab\t\nnew  line"]
     df = docs(spark, rows)
