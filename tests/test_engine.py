@@ -128,6 +128,20 @@ def test_entity_search_finds_terms_inside_entities(spark):
     assert [(r.chunk_id, r.score, r.matched) for r in got] == [("c0", 2.0, ["Network", "Neural Nets"]), ("c1", 1.0, ["Neural Nets"])]
 
 
+def test_entity_search_shuffles_no_pair_of_question_and_chunk(spark):
+    chunks = spark.range(3000).select(F.col("id").alias("chunk_id"), F.lit("d").alias("doc_id"), F.lit(1).alias("page_num"), F.lit(0).alias("start_char"), F.lit(9).alias("end_char"), F.lit("t").alias("text_clean"))
+    m = chunks.select("chunk_id", F.explode(F.sequence(F.lit(0), F.col("chunk_id") % 7)).alias("i")).select("chunk_id", F.concat(F.lit("e"), (F.col("i") / 2).cast("int")).alias("entity_id"), F.concat(F.lit("Network"), "i").alias("entity_text"))
+    q = spark.range(600).select(F.col("id").alias("q_id"), F.when(F.col("id") == 5, "work3 other").otherwise("the network").alias("question"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(store.executorList(False).apply(i).totalShuffleWrite() for i in range(store.executorList(False).size()))
+    before = written()
+    got = retrieval.entity_search(q, m, chunks, 3).orderBy("q_id", "rank").collect()
+    # 1.8 million pairs of question and chunk have a score; they would be more than this
+    assert written() - before < 2_000_000
+    assert [(r.q_id, r.chunk_id, r.score, r.rank) for r in got if r.q_id in (0, 5, 599)] == [(0, 6, 4.0, 1), (0, 13, 4.0, 2), (0, 20, 4.0, 3), (5, 3, 1.0, 1), (5, 4, 1.0, 2), (5, 5, 1.0, 3), (599, 6, 4.0, 1), (599, 13, 4.0, 2), (599, 20, 4.0, 3)]
+    assert len(got) == 1800 and got[15].matched == ["Network3"]
+
+
 def test_fusion_bounds_and_rerank(spark):
     v = spark.createDataFrame([(1, "a", 0.0, 1), (1, "b", 3.0, 2)], "q_id int, chunk_id string, score double, rank int")
     g = spark.createDataFrame([(1, "b", 2.0, 1), (1, "c", 1.0, 2)], "q_id int, chunk_id string, score double, rank int")
