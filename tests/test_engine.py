@@ -1,5 +1,6 @@
 import io
 import json
+import re
 import zipfile
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom import config
+from docloom.functions import text as T
 from docloom.operators import embedding as E
 from docloom.operators import evaluation, graph, layout, prompts, registry, retrieval
 from docloom.plans import service
@@ -101,6 +103,15 @@ def test_batch_limits():
     assert list(E.batches(["z" * 100_000])) == [["z" * 100_000]] and list(E.batches([])) == []
 
 
+def test_index_positions_of_more_rows_than_a_range_sort_samples(spark):
+    ids = spark.range(20_000).repartition(40)
+    v = ids.select((F.col("id") % 3).cast("string").alias("doc_id"), (F.col("id") % 9).cast("int").alias("page_num"), F.lit(None).cast("int").alias("start_char"), F.lit(None).cast("int").alias("end_char"), F.col("id").cast("string").alias("chunk_id"), F.array(F.lit(0.0), F.lit(1.0)).cast("array<float>").alias("vector"), F.lit("e").alias("embedder_id"))
+    got = E.index_rows(v, "e", 2).select("chunk_id", "row_pos").collect()
+    want = sorted((str(i % 3), i % 9, str(i)) for i in range(20_000))
+    assert sorted((r.row_pos, r.chunk_id) for r in got) == [(n, w[2]) for n, w in enumerate(want)]
+    assert E.index_rows(v.limit(0), "e", 2).count() == 0
+
+
 def test_knn_ties_and_short_index(spark):
     x = np.array([[1, 0, 0], [0, 1, 0], [0, 1, 0], [1, 1, 0], [0, 0, 2], [-1, 0, 0]], float)
     index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_pos long, vector array<float>").repartition(3)
@@ -120,6 +131,33 @@ def test_knn_ties_of_many_near_copies(spark):
     assert [r.row_pos for r in got] == [0, 1, 2, 3, 4]
 
 
+def test_knn_keeps_k_of_the_copies_of_a_vector(spark):
+    at, score, rows = np.array([0] * 6 + [1] * 3), np.array([1.0, 1.0, 1.0, 2.0, np.nan, np.nan, 1.0, 1.0, 1.0]), np.array([9, 3, 5, 1, 8, 2, 4, 6, 7])
+    assert sorted(retrieval.tied_first(at, score, rows, 2).tolist()) == [1, 2, 3, 4, 5, 6, 7]
+    index = spark.range(30_000).select(F.col("id").alias("row_pos"), F.array(F.col("id") % 3, F.lit(1)).cast("array<float>").alias("vector")).coalesce(1)
+    q = spark.createDataFrame([("a", [1.0, 1.0]), ("b", [9.0, 0.0])], "q_id string, q_vec array<float>")
+    got = retrieval.knn(q, index, 4).orderBy("q_id", "rank").collect()
+    assert [r.row_pos for r in got] == [1, 4, 7, 10, 2, 5, 8, 11]
+    bad = spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0, 3.0])], "row_pos long, vector array<float>").coalesce(1)
+    with pytest.raises(Exception, match="DIM_MISMATCH"):
+        retrieval.knn(q, bad, 1).collect()
+
+
+def test_formula_letters_lie_in_the_blocks_that_are_asked_first(spark):
+    assert all(re.match(f"[{layout.MATH_BLOCKS}]", c) for c in layout.MATH)
+    rows = spark.createDataFrame([("∑ab",), ("é" * 20 + "±",), ("±÷ x",), ("cost $5 and $6",), ("\\frac",), ("plain",), ("ж∪∩ж",)], "t string")
+    assert [r[0] for r in rows.select(layout.is_formula(F.col("t"))).collect()] == [True, False, True, True, True, False, True]
+    # one class of sixty letters is tried letter by letter at every character
+    assert "&&" in rows.select(layout.is_formula(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_trimming_takes_the_characters_that_white_space_has(spark):
+    rows = spark.range(0x3100).where("id < 55296").select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    both = rows.select("c", (T.strip(F.concat("c", F.lit("a b"), "c")) == F.regexp_replace(F.concat("c", F.lit("a b"), "c"), r"(?U)^\s+|\s+$", "")).alias("same"), (T.rstrip(F.concat(F.lit(" a"), "c")) == F.regexp_replace(F.concat(F.lit(" a"), "c"), r"(?U)\s+$", "")).alias("right"))
+    assert both.where("not (same and right)").count() == 0 and len(T.WHITE) == 25
+    assert "regexp" not in str(rows.select(T.strip(F.col("c")))._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_entity_search_finds_terms_inside_entities(spark):
     chunks = spark.createDataFrame([(f"c{i}", "d", 1, i, i + 1, "t") for i in range(4)], "chunk_id string, doc_id string, page_num int, start_char int, end_char int, text_clean string")
     m = spark.createDataFrame([("c0", "e1", "Neural Nets"), ("c0", "e2", "Network"), ("c1", "e1", "Neural Nets"), ("c2", "e3", "Other"), ("c3", "e4", "ne")], "chunk_id string, entity_id string, entity_text string")
