@@ -17,6 +17,7 @@ Y_TOLERANCE, WIDE, LARGER, SHORT, MATH_SHARE, OCR_MIN, BODY_FONT = 8.0, 0.6, 1.0
 CAPTION = r"(?i)^\s*(?:Fig\.?|Figure|Table|TABLE|Tab\.?|Chart|Diagram|Exhibit|Image|Photo|Plate)\s*[\dIVX]+"
 LATEX = r"\\[a-zA-Z]+\{|\\frac|\\sum|\\int|\$.*?\$"
 MATH = "∑∏∫∂∇∆αβγδεζηθλμνξπρστφχψωΩΓΔΘΛΞΠΣΦΨ±×÷√∞≈≠≤≥∈∉⊂⊃∪∩"
+MATH_BLOCKS = "\u00b1\u00d7\u00f7\u0370-\u03ff\u2200-\u22ff"
 
 
 def smart_join(parts: Column) -> Column:
@@ -105,8 +106,11 @@ def is_caption(text: Column) -> Column:
 
 
 def is_formula(text: Column) -> Column:
-    share = F.length(F.regexp_replace(text, f"[^{MATH}]", "")) / F.greatest(F.length(text), F.lit(1))
-    return (F.length(text) >= 3) & (text.rlike(LATEX) | (share > MATH_SHARE))
+    # a class of so many letters is tried one by one: its blocks are asked first, and only where a byte is not ASCII
+    count = F.when(F.octet_length(text) == F.length(text), 0).otherwise(F.regexp_count(text, F.lit(f"[{MATH_BLOCKS}&&[{MATH}]]")))
+    share = count / F.greatest(F.length(text), F.lit(1))
+    latex = (text.contains("\\") | text.contains("$")) & text.rlike(LATEX)
+    return (F.length(text) >= 3) & (latex | (share > MATH_SHARE))
 
 
 def table_markdown(rows: Column) -> Column:
